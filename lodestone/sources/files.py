@@ -93,7 +93,7 @@ class TreeStream(SimpleDataSourceStreamReader):
     def read(self, start: dict):
         files = self._between(start["mtime_ns"], None)
         end = max([start["mtime_ns"], *(f[2] for f in files)])
-        return self.options.rows(files), {"mtime_ns": end}
+        return iter(list(self.options.rows(files))), {"mtime_ns": end}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         return self.options.rows(self._between(start["mtime_ns"], end["mtime_ns"]))
