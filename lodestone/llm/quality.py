@@ -15,16 +15,16 @@ from pyspark.sql import types as T
 
 from lodestone.llm.common import WORD, cut, map_texts
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS, MARKS = "#*$%&|<>", "!?"
 MIN_WORDS, MAX_REPEATED = 50, 50
 #: A group's own quantiles hold from so many documents on; smaller ones use their language's, then all documents'.
 MIN_GROUP = 100
 #: Fence above the upper quartile in quartile distances, and the least distance counted, by rate.
-FENCE = 6
-RATES = {"symbol_rate": 40, "dup_line_rate": 120, "repeat_rate": 80, "word_length": 15}
+FENCE = 4
+RATES = {"symbol_rate": 15, "mark_rate": 15, "dup_line_rate": 110, "repeat_rate": 110, "word_length": 7}
 _WORD = re.compile(WORD)
 _SPACES = " \t\n\v\f\r"
-METRICS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
+METRICS = ["n_words", "word_chars", "n_symbols", "n_marks", "n_lines", "n_dup_lines", "n_repeat_words"]
 
 
 def repeated_words(words: list[str]) -> int:
@@ -49,6 +49,7 @@ def measure(text: str) -> tuple[int, ...]:
         len(words),
         sum(map(len, words)),
         sum(map(text.count, SYMBOLS)),
+        sum(map(text.count, MARKS)),
         len(lines),
         len(lines) - len(set(lines)),
         repeated_words(words),
@@ -75,6 +76,7 @@ def with_rates(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
             "symbol_rate": rate("n_symbols", "word_chars", 1000),
+            "mark_rate": rate("n_marks", "word_chars", 1000),
             "dup_line_rate": rate("n_dup_lines", "n_lines", 1000),
             "repeat_rate": rate("n_repeat_words", "n_words", 1000),
             "word_length": rate("word_chars", "n_words", 10),

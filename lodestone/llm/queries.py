@@ -24,7 +24,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.quality import quality_report
 
-    return quality_report(documents(spark, sf_dir)).drop("n_lines")
+    return quality_report(documents(spark, sf_dir)).drop("n_lines", "n_marks")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,71 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+
+def quality_sql() -> str:
+    """op2 in SQL, with the module's constants."""
+    from lodestone.llm import quality as q
+
+    rates = list(q.RATES)
+    pick = lambda c: f"CASE WHEN f.n >= {q.MIN_GROUP} THEN f.{c} WHEN m.n >= {q.MIN_GROUP} THEN m.{c} ELSE t.{c} END"
+    fences = ", ".join(f"(({pick('q3_' + r)}) + {q.FENCE} * greatest(({pick('q3_' + r)}) - ({pick('q1_' + r)}), {least}))::BIGINT AS max_{r}" for r, least in q.RATES.items())
+
+    def quartiles(by: str) -> str:
+        keys = f"{by}, " if by else ""
+        cut = ", ".join(f"min(bucket) FILTER (rate = '{r}' AND 4 * upto >= {k} * al) AS q{k}_{r}" for r in rates for k in (1, 3))
+        return f"""(SELECT {keys}max(al) AS n, {cut} FROM (
+  SELECT *, sum(n) OVER (PARTITION BY {keys}rate ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}rate) AS al
+  FROM (SELECT {keys}rate, bucket, sum(n) AS n FROM s GROUP BY {keys}rate, bucket)) {"GROUP BY " + by if by else ""})"""
+
+    long = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rate, {r} AS x FROM r" for r in rates)
+    over = " OR ".join(f"{r} > max_{r}" for r in rates)
+    return rf"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+v AS (SELECT doc_id, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
+c AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, v) AS n FROM v) WHERE n > 1),
+p AS (SELECT doc_id, count(DISTINCT i)::BIGINT AS n FROM c GROUP BY doc_id),
+b AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^{q.SYMBOLS}]', '', 'g'))::BIGINT AS n_symbols, length(regexp_replace(t, '[^{q.MARKS}]', '', 'g'))::BIGINT AS n_marks,
+  len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN p USING (doc_id)),
+r AS (SELECT *, CASE WHEN word_chars > 0 THEN 1000 * n_symbols // word_chars ELSE 0 END AS symbol_rate, CASE WHEN word_chars > 0 THEN 1000 * n_marks // word_chars ELSE 0 END AS mark_rate,
+  CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup_line_rate, CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeat_rate,
+  CASE WHEN n_words > 0 THEN 10 * word_chars // n_words ELSE 0 END AS word_length FROM b),
+x AS ({long}),
+s AS (SELECT lang, source, rate, (x >> k) << k AS bucket, count(*) AS n FROM (SELECT *, greatest(length(bin(x)) - 5, 0) AS k FROM x) GROUP BY ALL),
+h AS (SELECT f.lang AS k_lang, f.source AS k_source, CASE WHEN f.n >= {q.MIN_GROUP} THEN 'source' WHEN m.n >= {q.MIN_GROUP} THEN 'lang' ELSE 'all' END AS level, {fences}
+  FROM {quartiles("lang, source")} f LEFT JOIN {quartiles("lang")} m ON f.lang IS NOT DISTINCT FROM m.lang, {quartiles("")} t)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEATED} * n_words AS base_failed,
+  NOT (n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEATED} * n_words) AND NOT ({over}) AS kept, {", ".join(rates)}, {", ".join("max_" + r for r in rates)}, level
+FROM r JOIN h ON lang IS NOT DISTINCT FROM k_lang AND source IS NOT DISTINCT FROM k_source
+"""
+
+
+def license_sql() -> str:
+    """op6 in SQL, over the same digests."""
+    from lodestone.llm import licenses as li
+
+    norm = f"lower(regexp_replace(x, '{li.COPYRIGHT}', ' ', 'g'))"
+    norm = f"trim(regexp_replace({norm}, '{li.PUNCTUATION}', ' ', 'g'), ' ')"
+    for pattern, to in li.SPELLINGS:
+        norm = f"regexp_replace({norm}, '{pattern}', '{to.replace('$1', chr(92) + '1')}', 'g')"
+    values = ", ".join(f"('{d}', '{i}', {str(p).lower()})" for d, i, p in li.known())
+    return rf"""
+WITH k(digest, license, free) AS (VALUES {values}),
+d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+u AS (SELECT doc_id, 0 AS kind, t AS x FROM d UNION ALL SELECT doc_id, 1, unnest(string_split(t, chr(10))) FROM d
+  UNION ALL SELECT doc_id, 1, b FROM (SELECT doc_id, unnest(regexp_split_to_array(t, '
+[ 	]*
+')) AS b FROM d) WHERE contains(b, chr(10))),
+h AS (SELECT doc_id, kind, license, free FROM (SELECT doc_id, kind, sha256({norm}) AS digest FROM u) JOIN k USING (digest)),
+g AS (SELECT doc_id, max(license) FILTER (kind = 0) AS whole, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(*) FILTER (kind = 1) AS n, bool_or(NOT free) AS restricted FROM h GROUP BY doc_id)
+SELECT doc_id, whole, coalesce(licenses, '') AS licenses, coalesce(n, 0)::BIGINT AS n_notices, coalesce(restricted, false) AS restricted FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": quality_sql(),
+    "op6_license_scan": license_sql(),
     "op5_exact_dedup": r"""
 WITH t AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
