@@ -137,12 +137,17 @@ def parse_duration(text: str) -> float:
 
 
 def bytes_text(n: Column) -> Column:
-    """Bytes in B, KB, MB or GB."""
+    """Bytes in B, KB, MB or GB, to one digit, halves upwards."""
+
+    def tenths(unit: int) -> Column:
+        t = F.floor((n + unit // 20) * 10 / unit).cast("long")
+        return F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"))
+
     return (
         F.when(n < 1000, F.concat(n.cast("long").cast("string"), F.lit(" B")))
-        .when(n < 1000**2, F.format_string("%.1f KB", n / 1e3))
-        .when(n < 1000**3, F.format_string("%.1f MB", n / 1e6))
-        .otherwise(F.format_string("%.1f GB", n / 1e9))
+        .when(n < 1000**2, F.concat(tenths(1000), F.lit(" KB")))
+        .when(n < 1000**3, F.concat(tenths(1000**2), F.lit(" MB")))
+        .otherwise(F.concat(tenths(1000**3), F.lit(" GB")))
     )
 
 

@@ -388,7 +388,7 @@ def openapi_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT doc_id, greatest(1, floor(n_chars / 4))::BIGINT AS tokens, greatest(1, floor(n_chars / 2))::BIGINT AS context_tokens,
-  CASE WHEN n_chars < 1000 THEN n_chars || ' B' ELSE format('{:.1f} KB', n_chars / 1000.0::DOUBLE) END AS size,
+  CASE WHEN n_chars < 1000 THEN n_chars || ' B' ELSE (n_chars + 50) // 1000 || '.' || (n_chars + 50) // 100 % 10 || ' KB' END AS size,
   CASE doc_id % 4 WHEN 0 THEN 90.0 WHEN 1 THEN 300.0 WHEN 2 THEN 7200.0 END::DOUBLE AS seconds FROM documents
 """)
 def formatted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
