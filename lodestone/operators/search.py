@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.facets import matches
-from lodestone.functions.vectors import cosine, dot_literal, norm, tokens
+from lodestone.functions.vectors import dot_literal, norm, tokens
 
 #: Fixed constants of the keyword score.
 K1, B, AVERAGE = 1.2, 0.75, 256.0
@@ -34,16 +36,56 @@ def dense_topk(points: DataFrame, query: Sequence[float], limit: int = LIMIT, ke
     return top(filtered(points, facets, exclude).withColumn("score", score).where("score IS NOT NULL"), limit, key)
 
 
-def dense_topk_batch(points: DataFrame, queries: DataFrame, limit: int = LIMIT, key: str = "point_id", vector: str = "dense", query_key: str = "query_id", query_vector: str = "query_vector", digits: int = 6) -> DataFrame:
-    """(query, key, score, rank) of each query's best points. queries is a stated set, read in full by every task.
+def blocks(rows: DataFrame, key: str, vector: str, size: int, id_name: str, matrix: str) -> DataFrame:
+    """Rows packed where they are into blocks of size: (id_name array, matrix array<double>, unit vectors). Those without length go."""
 
-    Each partition keeps its own best per query before the shuffle, which then carries limit rows per query and task.
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for at in range(0, part.num_rows, size):
+                piece = part.slice(at, size)
+                found: dict[int, tuple[list, list]] = {}
+                for i, v in zip(piece.column(0).to_pylist(), piece.column(1), strict=True):
+                    values = np.asarray(v.values.to_numpy(zero_copy_only=False), dtype=np.float64) if v.is_valid else np.zeros(0)
+                    length = np.sqrt((values * values).sum())
+                    if length > 0:
+                        own = found.setdefault(len(values), ([], []))
+                        own[0].append(i)
+                        own[1].append(values / length)
+                ids = [x[0] for x in found.values()]
+                flat = [np.concatenate(x[1]).tolist() for x in found.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(ids, pa.list_(piece.schema.field(0).type)), pa.array(flat, pa.list_(pa.float64()))], ["dim", id_name, matrix])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, vector).mapInArrow(pack, f"dim int, {id_name} array<{kind}>, {matrix} array<double>")
+
+
+def dense_topk_batch(points: DataFrame, queries: DataFrame, limit: int = LIMIT, key: str = "point_id", vector: str = "dense", query_key: str = "query_id", query_vector: str = "query_vector", digits: int = 6, query_block: int = 256, point_block: int = 4096) -> DataFrame:
+    """(query, key, score, rank) of each query's best points. queries is a stated set, compared with all rows block by block.
+
+    Spark pairs blocks, not rows, and needs no side to fit in memory; each pair is one matrix product and passes on limit
+    rows per query.
     """
-    pairs = points.select(key, vector).crossJoin(queries.select(query_key, query_vector))
-    scored = pairs.select(query_key, key, F.round(cosine(F.col(vector), F.col(query_vector)), digits).alias("score")).where("score IS NOT NULL")
-    local = Window.partitionBy("_part", query_key).orderBy(F.desc("score"), key)
-    best = scored.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(64)))
-    best = best.withColumn("rank", F.row_number().over(local)).where(F.col("rank") <= limit).drop("_part")
+    q = blocks(queries, query_key, query_vector, query_block, "q_ids", "q")
+    p = blocks(points, key, vector, point_block, "p_ids", "p")
+    pairs = p.crossJoin(q.withColumnRenamed("dim", "q_dim")).where("dim = q_dim").select("dim", "q_ids", "q", "p_ids", "p")
+    kinds = [points.schema[key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()]
+
+    def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for i in range(part.num_rows):
+                dim, q_ids, q_flat, p_ids, p_flat = (part.column(c)[i] for c in range(5))
+                left = q_flat.values.to_numpy().reshape(-1, dim.as_py())
+                right = p_flat.values.to_numpy().reshape(-1, dim.as_py())
+                found = np.round(left @ right.T, digits)
+                names = p_ids.values
+                order = np.argsort(np.asarray(names.to_pylist(), dtype=object), kind="stable")
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                best = np.lexsort((np.broadcast_to(rank, found.shape), -found), axis=1)[:, :limit]
+                row = np.repeat(np.arange(len(left)), best.shape[1])
+                yield pa.RecordBatch.from_arrays([q_ids.values.take(pa.array(row)), names.take(pa.array(best.ravel())), pa.array(np.take_along_axis(found, best, 1).ravel())], [query_key, key, "score"])
+
+    best = pairs.mapInArrow(score, f"{query_key} {kinds[1]}, {key} {kinds[0]}, score double")
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
