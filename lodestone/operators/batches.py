@@ -24,12 +24,15 @@ def greedy_bins(sizes: Column, max_total: int, max_items: int) -> Column:
     return F.aggregate(F.transform(sizes, lambda x: x.cast("long")), start, step, lambda s: s["bins"])
 
 
-def packed(items: DataFrame, by: str, order: str, size: str, max_total: int = FLAT_CHARS, max_items: int = FLAT_TEXTS) -> DataFrame:
-    """(by, order, size, batch) with items packed in order within by. A by-group is one document or one run of them."""
-    lists = items.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(order, size))).alias("xs"))
+def packed(items: DataFrame, by: list[str], order: str, size: str, max_total: int = FLAT_CHARS, max_items: int = FLAT_TEXTS) -> DataFrame:
+    """(by, order, size, batch) with items packed in order within by.
+
+    A by-group is gathered in one row, so it must be bounded: the chunks of a document, or a segment of a longer run.
+    """
+    lists = items.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(order, size))).alias("xs"))
     bins = greedy_bins(F.transform("xs", lambda x: x[size]), max_total, max_items)
-    zipped = lists.select(by, F.explode(F.arrays_zip("xs", bins.alias("batch"))).alias("z"))
-    return zipped.select(by, F.col(f"z.xs.{order}").alias(order), F.col(f"z.xs.{size}").alias(size), F.col("z.batch").alias("batch"))
+    zipped = lists.select(*by, F.explode(F.arrays_zip("xs", bins.alias("batch"))).alias("z"))
+    return zipped.select(*by, F.col(f"z.xs.{order}").alias(order), F.col(f"z.xs.{size}").alias(size), F.col("z.batch").alias("batch"))
 
 
 def within_budget(found: DataFrame, size: str, budget: int, order: list[Column], by: list[str] | None = None) -> DataFrame:

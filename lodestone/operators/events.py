@@ -18,16 +18,32 @@ def stage_counts(events: DataFrame, by: str, kinds: list[str], kind: str) -> Dat
     return events.groupBy(by).agg(F.count("*").alias("events"), *(F.count_if(F.col(kind) == k).alias(f"n_{k}") for k in kinds))
 
 
-def rate_window(events: DataFrame, key: str, ts: str, weight: str, seconds: int = 60) -> DataFrame:
-    """Requests and weight in the seconds up to each event, its own moment included."""
-    w = Window.partitionBy(key).orderBy(micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("requests", F.count("*").over(w)).withColumn("weight", F.sum(weight).over(w))
-
-
-def cooldown(events: DataFrame, key: str, ts: str, throttled: str, seconds: int = 60) -> DataFrame:
-    """events with waiting: a throttled answer in the seconds before."""
-    w = Window.partitionBy(key).orderBy(micros(ts)).rangeBetween(-seconds * 1_000_000, -1)
-    return events.withColumn("waiting", F.coalesce(F.max(F.col(throttled)).over(w), F.lit(False)))
+def _spread(events: DataFrame, ts: str, seconds: int, span: int) -> DataFrame:
+    """events with _at (microseconds), _slot and _own: each in its slot of span seconds, and again, as context, in the next one if within seconds of it."""
+    slot = F.floor(F.col("_at") / (span * 1_000_000)).cast("long")
+    near = F.col("_at") >= (F.col("_first") + 1) * (span * 1_000_000) - seconds * 1_000_000
+    rows = events.withColumn("_at", micros(ts)).withColumn("_first", slot)
+    rows = rows.withColumn("_slot", F.explode(F.when(near, F.array(F.col("_first"), F.col("_first") + 1)).otherwise(F.array("_first"))))
+    return rows.withColumn("_own", F.col("_slot") == F.col("_first")).drop("_first")
+
+
+def rate_window(events: DataFrame, key: str, ts: str, weight: str, seconds: int = 60, span: int | None = None) -> DataFrame:
+    """Requests and weight in the seconds up to each event, its own moment included.
+
+    A key's events are dealt out by slots of span seconds, with what reaches over a slot's start, so one busy key fills many tasks.
+    """
+    rows = _spread(events, ts, seconds, span or 60 * seconds)
+    w = Window.partitionBy(key, "_slot").orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
+    found = rows.withColumn("requests", F.count("*").over(w)).withColumn("weight", F.sum(weight).over(w))
+    return found.where("_own").drop("_at", "_slot", "_own")
+
+
+def cooldown(events: DataFrame, key: str, ts: str, throttled: str, seconds: int = 60, span: int | None = None) -> DataFrame:
+    """events with waiting: a throttled answer in the seconds before. Dealt out as in rate_window."""
+    rows = _spread(events, ts, seconds, span or 60 * seconds)
+    w = Window.partitionBy(key, "_slot").orderBy("_at").rangeBetween(-seconds * 1_000_000, -1)
+    found = rows.withColumn("waiting", F.coalesce(F.max(F.col(throttled)).over(w), F.lit(False)))
+    return found.where("_own").drop("_at", "_slot", "_own")
 
 
 def merged_stats(runs: DataFrame, counters: list[str], stopped: str = "stopped", errors: str = "errors") -> DataFrame:

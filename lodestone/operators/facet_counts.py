@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 VALUES, OVERVIEW, ONE_KEY, COLLAPSE = 10_000, 50, 1000, 50
@@ -29,16 +29,15 @@ def facet_pairs(points: DataFrame, *by: str, column: str = "facets") -> DataFram
 
 def facet_overview(points: DataFrame, cap: int = OVERVIEW, column: str = "facets") -> DataFrame:
     """(key, points, distinct_values, values, truncated): each key's cap first values by name."""
-    from pyspark.sql import Window
-
     pairs = facet_pairs(points, column=column)
-    ranked = pairs.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("points"), "value")))
-    kept = ranked.groupBy("key").agg(
-        F.count("*").alias("distinct_values"),
-        F.sort_array(F.collect_list(F.when(F.col("r") <= cap, F.struct("r", "value")))).alias("best"),
-    )
+    sizes = pairs.groupBy("key").agg(F.count("*").alias("distinct_values"))
+    # The filter on the rank lets every task drop all but its first cap values of a key before the shuffle.
+    order = Window.partitionBy("key").orderBy(F.desc("points"), "value")
+    first = pairs.withColumn("r", F.row_number().over(order)).where(F.col("r") <= cap)
+    best = first.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("r", "value"))).alias("best"))
     values = F.transform("best", lambda b: b["value"])
-    return kept.join(facet_keys(points, column), "key").select("key", "points", "distinct_values", values.alias("values"), (F.col("distinct_values") > cap).alias("truncated"))
+    joined = sizes.join(best, "key").join(facet_keys(points, column), "key")
+    return joined.select("key", "points", "distinct_values", values.alias("values"), (F.col("distinct_values") > cap).alias("truncated"))
 
 
 def facets_report(declared: DataFrame, stored: DataFrame, collapse: int = COLLAPSE) -> DataFrame:

@@ -427,43 +427,46 @@ def chat_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.groupBy("role", "day").agg(F.count("*").alias("points"))
 
 
-# Batches.
+# Batches. Sources are cut into segments of ids, so that no task gathers a whole source.
 
+SEGMENT = 4096
 
 def _pack_sql(total: int, items: int, size: str) -> str:
     return f"""
-WITH RECURSIVE i AS (SELECT source, doc_id, {size} AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+WITH RECURSIVE i AS (SELECT source, doc_id, {size} AS n, doc_id // {SEGMENT} AS segment, row_number() OVER (PARTITION BY source, doc_id // {SEGMENT} ORDER BY doc_id) AS k FROM documents),
 b AS (
-  SELECT source, doc_id, n, k, 0 AS batch, n AS total, 1 AS items FROM i WHERE k = 1
+  SELECT source, segment, doc_id, n, k, 0 AS batch, n AS total, 1 AS items FROM i WHERE k = 1
   UNION ALL
-  SELECT i.source, i.doc_id, i.n, i.k, CASE WHEN b.total + i.n > {total} OR b.items >= {items} THEN b.batch + 1 ELSE b.batch END,
+  SELECT i.source, i.segment, i.doc_id, i.n, i.k, CASE WHEN b.total + i.n > {total} OR b.items >= {items} THEN b.batch + 1 ELSE b.batch END,
     CASE WHEN b.total + i.n > {total} OR b.items >= {items} THEN i.n ELSE b.total + i.n END,
     CASE WHEN b.total + i.n > {total} OR b.items >= {items} THEN 1 ELSE b.items + 1 END
-  FROM b JOIN i ON i.source = b.source AND i.k = b.k + 1
+  FROM b JOIN i ON i.source = b.source AND i.segment = b.segment AND i.k = b.k + 1
 )
 SELECT source, doc_id, batch::INT AS batch FROM b"""
 
 
 @query(_pack_sql(40_000, 64, "n_chars"))
 def pack_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    return batches.packed(rows, "source", "doc_id", "n_chars").select("source", "doc_id", "batch")
+    rows = table(spark, sf_dir, "documents").select("source", F.floor(F.col("doc_id") / SEGMENT).alias("segment"), "doc_id", "n_chars")
+    return batches.packed(rows, ["source", "segment"], "doc_id", "n_chars").select("source", "doc_id", "batch")
 
 
 @query(_pack_sql(20_000, 16_000, "greatest(1, floor(n_chars / 2))::BIGINT"))
 def pack_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", tx.estimate_tokens(F.col("n_chars"), 2).alias("tokens"))
-    return batches.packed(rows, "source", "doc_id", "tokens", batches.SPAN_TOKENS, batches.SPAN_ITEMS).select("source", "doc_id", "batch")
+    rows = table(spark, sf_dir, "documents").select("source", F.floor(F.col("doc_id") / SEGMENT).alias("segment"), "doc_id", tx.estimate_tokens(F.col("n_chars"), 2).alias("tokens"))
+    return batches.packed(rows, ["source", "segment"], "doc_id", "tokens", batches.SPAN_TOKENS, batches.SPAN_ITEMS).select("source", "doc_id", "batch")
 
 
-@query("""
-WITH r AS (SELECT lang, doc_id, n_chars, row_number() OVER w AS k, sum(n_chars) OVER (w ROWS UNBOUNDED PRECEDING) AS running FROM documents WINDOW w AS (PARTITION BY lang ORDER BY n_chars DESC, doc_id))
-SELECT lang, doc_id, running::BIGINT AS running FROM r WHERE running <= 60000 OR k = 1
+@query(f"""
+WITH {POSTINGS}, c AS (SELECT * FROM (WITH {BM25.strip()}) ORDER BY score DESC, doc_id LIMIT 200),
+r AS (SELECT doc_id, row_number() OVER w AS k, sum(n_chars) OVER (w ROWS UNBOUNDED PRECEDING) AS running FROM c JOIN documents USING (doc_id) WINDOW w AS (ORDER BY score DESC, doc_id))
+SELECT doc_id, running::BIGINT AS running FROM r WHERE running <= 60000 OR k = 1
 """)
 def rerank_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars")
-    kept = batches.within_budget(rows, "n_chars", 60_000, [F.desc("n_chars"), F.col("doc_id")], ["lang"])
-    return kept.select("lang", "doc_id", "running")
+    """The 200 candidates of a search, cut where they pass a budget."""
+    docs = doc_files(spark, sf_dir)
+    found = search.bm25_topk(docs, TERMS, 200, "doc_id").join(docs.select("doc_id", "n_chars"), "doc_id")
+    return batches.within_budget(found, "n_chars", 60_000, [F.desc("score"), F.col("doc_id")]).select("doc_id", "running")
 
 
 # Chunks.
