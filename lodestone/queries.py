@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import facets as fc
 from lodestone.functions import text as tx
 from lodestone.functions import vectors as vc
-from lodestone.operators import batches, events, facet_counts, files, search
+from lodestone.operators import batches, corpus, events, facet_counts, files, search
 from lodestone.operators.chunk import chunk_files, min_chars_filter
 from lodestone.sources.globs import to_regex
 from lodestone.sources.tables import Table
@@ -404,6 +404,74 @@ def hard_excludes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(~tx.hard_excluded(F.col("path")))
 
 
+SIDECAR = """'{' || chr(10) || '  "metadataAttributes": {' || chr(10) || '    "group": [' || chr(10) || '      "docs"' || chr(10) || '    ],' || chr(10) || '    "lang": [' || chr(10) || '      "' || lang || '"' || chr(10) || '    ],' || chr(10) || '    "source": [' || chr(10) || '      "' || source || '"' || chr(10) || '    ]' || chr(10) || '  }' || chr(10) || '}' || chr(10)"""
+
+
+def corpus_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.documents(doc_files(spark, sf_dir).withColumn("language", F.lit("markdown")).withColumn("grp", F.lit("docs")))
+
+
+@query(f"SELECT 'internal/current/default/' || source || '/' || doc_id || '.md' AS corpus_key, sha256(text) AS content_sha256, sha256({SIDECAR}) AS sidecar_sha256 FROM documents")
+def corpus_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_rows(spark, sf_dir).select("corpus_key", "content_sha256", "sidecar_sha256")
+
+
+@query("""
+SELECT 'internal/current/default/' || source || '/' || doc_id || '.md' AS corpus_key, CASE WHEN lang = 'fr' THEN 'prune' ELSE 'write' END AS action
+FROM documents WHERE lang = 'fr' OR doc_id % 4 = 0
+""")
+def corpus_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Against a corpus where one document in four has older content, and French ones are no longer kept."""
+    made = corpus_rows(spark, sf_dir).withColumn("fr", F.col("sidecar").contains('"fr"')).withColumn("id", F.regexp_extract("corpus_key", r"(\d+)\.md$", 1).cast("long"))
+    stored = made.withColumn("content_sha256", F.when(F.col("id") % 4 == 0, F.lit("old")).otherwise(F.col("content_sha256")))
+    keep = made.where("NOT fr")
+    write = corpus.to_write(keep, stored).select("corpus_key", F.lit("write").alias("action"))
+    return write.unionByName(corpus.to_prune(stored, keep).select("corpus_key", F.lit("prune").alias("action")))
+
+
+@query("SELECT source || '/' || doc_id || '.md' AS path FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0")
+def stale_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose rendering is missing (one in three) or older (one in five)."""
+    now = doc_files(spark, sf_dir).select("doc_id", "path", F.sha2("text", 256).alias("sha256"))
+    cache = now.where("doc_id % 3 != 0").withColumn("sha256", F.when(F.col("doc_id") % 5 == 0, F.lit("old")).otherwise(F.col("sha256")))
+    return corpus.stale_specs(now, cache).select("path")
+
+
+@query("""
+SELECT user_id AS point_id, arg_max(event_type, ts) AS event_type, max(ts) AS version FROM events GROUP BY user_id
+""")
+def last_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("point_id"), "event_type", F.col("ts").alias("version"))
+    return files.last_write(rows)
+
+
+@query("SELECT 'lang' AS key, lang AS value FROM documents WHERE lang IS NOT NULL GROUP BY ALL UNION ALL SELECT 'source', source FROM documents WHERE source IS NOT NULL GROUP BY ALL")
+def distinct_facet_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facet_counts.facet_pairs(doc_files(spark, sf_dir)).select("key", "value")
+
+
+@query("""
+SELECT CASE WHEN regexp_matches(e, 'error|failed') THEN 'error' WHEN regexp_matches(e, 'skip|retry|busy|stopped') THEN 'warn' ELSE 'info' END AS level, count(*)::BIGINT AS n
+FROM (SELECT CASE event_type WHEN 'view' THEN 'skip_stat' WHEN 'error' THEN 'embed_failed' ELSE event_type END AS e FROM events) GROUP BY 1
+""")
+def event_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    name = F.when(kind == "view", "skip_stat").when(kind == "error", "embed_failed").otherwise(kind)
+    return table(spark, sf_dir, "events").groupBy(tx.event_level(name).alias("level")).agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH {POSTINGS}, c AS (SELECT * FROM (WITH {BM25.strip()}) ORDER BY score DESC, doc_id LIMIT 10)
+SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, '{{"path":"' || source || '/' || doc_id || '.md","facets":{{"lang":["' || documents.lang || '"],"source":["' || source || '"]}}}}' AS hit FROM c JOIN documents USING (doc_id)
+""")
+def hits_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search's hits as ranked JSON payloads."""
+    docs = doc_files(spark, sf_dir)
+    found = search.bm25_topk(docs, TERMS, 10, "doc_id").join(docs.select("doc_id", "path", "facets"), "doc_id")
+    rank = F.row_number().over(Window.orderBy(F.desc("score"), "doc_id"))
+    return found.select(rank.cast("long").alias("rank"), F.to_json(F.struct("path", "facets")).alias("hit"))
+
+
 # Conversations.
 
 
