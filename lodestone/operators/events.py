@@ -13,6 +13,12 @@ def micros(ts: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")
 
 
+def append_log(events: DataFrame, path: str, run_id: str) -> None:
+    """Append a run's events(timestamp, level, message, meta) to the log table, one folder per run; a repeated run replaces its own."""
+    rows = events.withColumn("run_id", F.lit(run_id))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+
 def stage_counts(events: DataFrame, by: str, kinds: list[str], kind: str) -> DataFrame:
     """Per by: events in all and one count per kind; one pass."""
     return events.groupBy(by).agg(F.count("*").alias("events"), *(F.count_if(F.col(kind) == k).alias(f"n_{k}") for k in kinds))

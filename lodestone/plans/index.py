@@ -98,3 +98,12 @@ class Index:
         self.ledger.replace(now)
         plan.unpersist()
         return Report(counts, rebuild)
+
+    def reset(self) -> dict[str, int]:
+        """Drop everything stored; returns the rows that went, by table."""
+        gone = {}
+        for name, table in (("points", self.points), ("ledger", self.ledger)):
+            rows = table.read()
+            gone[name] = 0 if rows is None else rows.count()
+            table.drop()
+        return gone

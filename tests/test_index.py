@@ -71,6 +71,17 @@ def test_index_runs(spark, root, tmp_path):
     assert index.run(str(root), project, wanted=wanted).counts == {"skip_stat": 1}
     assert index.points.read().where("path = 'a.md'").count() > 0
     assert index.run(str(root), project, force=True).counts == {"changed": 3, "deleted": 2}
+    assert index.reset()["ledger"] == 3 and index.points.read() is None
+    assert index.run(str(root), project).counts == {"new": 3}
+
+
+def test_event_log(spark, tmp_path):
+    from lodestone.operators.events import append_log
+
+    rows = spark.createDataFrame([("2024-01-01T00:00:00Z", "info", "begin", {"event": "run"})], "timestamp string, level string, message string, meta map<string,string>")
+    for run in ("a", "b", "b"):
+        append_log(rows, str(tmp_path / "log"), run)
+    assert sorted(r.run_id for r in spark.read.parquet(str(tmp_path / "log")).collect()) == ["a", "b"]
 
 
 def test_query_plans(spark, root, tmp_path):
