@@ -103,41 +103,42 @@ def padded(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return row, np.flatnonzero(row != PAD)
 
 
-def forward(p: dict[str, np.ndarray], row: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Neighbours at each offset, hidden layer, log-probabilities of all tokens."""
+def forward(p: dict[str, np.ndarray], row: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbours at each offset, hidden layer, the tokens' log-probabilities, and all probabilities as terms and their sums."""
     near = [row[at + o] for o in OFFSETS]
     hidden = np.tanh(sum(p["embed"][k][x] for k, x in enumerate(near)) + p["hidden"])
     logits = hidden @ p["out"] + p["bias"]
     logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-    return near, hidden, logits
+    own = logits[np.arange(len(at)), row[at]]
+    terms = np.exp(logits, out=logits)
+    sums = terms.sum(axis=1, keepdims=True)
+    return near, hidden, own - np.log(sums[:, 0]), terms, sums
 
 
 def train(p: dict[str, np.ndarray], row: np.ndarray, places: np.ndarray, rate: float = RATE) -> None:
     """One pass of gradient descent over all places, in place."""
-    eye = np.eye(VOCABULARY, dtype=np.float32)
+    size = p["embed"][0].size
+    across = np.arange(HIDDEN)
     for i in range(0, len(places), BATCH):
         at = places[i : i + BATCH]
-        near, hidden, logp = forward(p, row, at)
+        near, hidden, _, terms, sums = forward(p, row, at)
         step = np.float32(rate * min(1.0, len(at) / BATCH) / len(at))
-        error = np.exp(logp)
+        error = np.divide(terms, sums, out=terms)
         error[np.arange(len(at)), row[at]] -= 1
         back = (error @ p["out"].T) * (1 - hidden * hidden)
         p["out"] -= step * (hidden.T @ error)
         p["bias"] -= step * error.sum(axis=0)
         p["hidden"] -= step * back.sum(axis=0)
+        flat_back = back.ravel()
         for k, x in enumerate(near):
-            p["embed"][k] -= 4 * step * (eye[x].T @ back)
+            added = np.bincount((x[:, None] * HIDDEN + across).ravel(), flat_back, size)
+            p["embed"][k] -= (4 * step * added).reshape(VOCABULARY, HIDDEN).astype(p["embed"].dtype)
 
 
 def token_scores(p: dict[str, np.ndarray], row: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Log-probability of each token given its neighbours on both sides."""
-    out = [np.zeros(0)]
-    for i in range(0, len(places), 4 * BATCH):
-        at = places[i : i + 4 * BATCH]
-        logp = forward(p, row, at)[2]
-        out.append(logp[np.arange(len(at)), row[at]].astype(np.float64))
-    return np.concatenate(out)
+    parts = [forward(p, row, places[i : i + BATCH])[2].astype(np.float64) for i in range(0, len(places), BATCH)]
+    return np.concatenate(parts) if parts else np.zeros(0)
 
 
 def trained(docs: DataFrame, text_col: str, top: list[str], counts: np.ndarray) -> dict[str, np.ndarray]:
