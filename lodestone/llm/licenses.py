@@ -9,10 +9,11 @@ from __future__ import annotations
 import hashlib
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.llm.common import ROW, cut
+from lodestone.llm.common import ROW, cut, map_texts
 
 #: Identifier, permissive or not, and the names by which notices refer to it.
 NAMES: list[tuple[str, bool, list[str]]] = [
@@ -54,22 +55,30 @@ PUNCTUATION = r"[\x00-\x20!-/:-@\[-`{-~\x{A0}\x{A9}\x{AB}\x{BB}\x{2010}-\x{201F}
 COPYRIGHT = r"(?m)^[\x20\t]*(?i:copyright|\(c\)|\x{A9}|all rights reserved)[^\n]*$"
 
 
+#: Fixed words: every known text has one, and no spelling rule makes or changes them, so a text without any of them can't match.
+ANCHORS = ["agplv3", "apache", "bsd", "cc", "cc0", "creative", "gnu", "gpl", "gplv2", "gplv3", "isc", "lgplv3", "mit", "mozilla", "mpl", "permission", "unlicense"]
+_java = lambda p: re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", p)
+_COPYRIGHT, _PUNCTUATION = re.compile(_java(COPYRIGHT)), re.compile(_java(PUNCTUATION))
+_SPELLINGS = [(re.compile(p, re.ASCII), to.replace("$1", r"\1")) for p, to in SPELLINGS]
+_ANCHOR = re.compile(rf"(?<![a-z0-9])(?:{'|'.join(ANCHORS)})(?![a-z0-9])")
+_BLANK_LINE = re.compile(r"\n[\x20\t]*\n")
+
+
 def canonical(text: str) -> str:
-    """Normal form of one text, as canonical_column makes it."""
-    code = lambda p: re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", p)
-    text = re.sub(code(COPYRIGHT), " ", text)
-    text = re.sub(code(PUNCTUATION), " ", text.lower()).strip(" ")
-    for pattern, to in SPELLINGS:
-        text = re.sub(pattern, to.replace("$1", r"\1"), text, flags=re.ASCII)
+    """Normal form of one text: without copyright lines, case, punctuation and variant spellings."""
+    text = _PUNCTUATION.sub(" ", _COPYRIGHT.sub(" ", text).lower()).strip(" ")
+    for pattern, to in _SPELLINGS:
+        text = pattern.sub(to, text)
     return text
 
 
-def canonical_column(text: Column) -> Column:
-    out = F.regexp_replace(text, COPYRIGHT, " ")
-    out = F.trim(F.regexp_replace(F.lower(out), PUNCTUATION, " "))
-    for pattern, to in SPELLINGS:
-        out = F.regexp_replace(out, pattern, to)
-    return out
+def units(text: str) -> list[tuple[int, str]]:
+    """(kind, digest) of the texts in a document that may be licences: 0 the whole, 1 a line or a paragraph of several."""
+    may = lambda x: _ANCHOR.search(x.lower()) is not None
+    if not may(text):
+        return []
+    parts = [(0, text), *((1, x) for x in text.split("\n") if may(x)), *((1, x) for x in _BLANK_LINE.split(text) if "\n" in x and may(x))]
+    return [(kind, hashlib.sha256(canonical(x).encode("utf-8", "surrogatepass")).hexdigest()) for kind, x in parts]
 
 
 def known() -> list[tuple[str, str, bool]]:
@@ -91,16 +100,10 @@ def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     table = spark.createDataFrame(known(), "digest string, license string, free boolean")
-    hints = [r[0] for r in table.select(F.substring("digest", 1, 16)).collect()]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias(ROW), text.alias("t"))
-    lines = F.split("t", "\n")
-    blocks = F.filter(F.split("t", r"\n[\x20\t]*\n"), lambda b: F.contains(b, F.lit("\n")))
-    unit = lambda kind, xs: F.transform(xs, lambda x: F.struct(F.lit(kind).alias("kind"), F.sha2(canonical_column(x), 256).alias("digest")))
-    units = F.concat(unit(0, F.array("t")), unit(1, lines), unit(1, blocks))
-    # The heads of the known digests thin the units out before they are written; the join decides.
-    likely = F.filter(units, lambda u: F.substring(u["digest"], 1, 16).isin(hints))
-    found = cut(rows.select("id", ROW, likely.alias("units")))
+    named = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias(ROW), F.col(text_col).alias("text"))
+    field = T.StructField("units", T._parse_datatype_string("array<struct<kind:int,digest:string>>"))
+    work = lambda texts: [[[{"kind": k, "digest": d} for k, d in units(t)] for t in texts]]
+    found = cut(map_texts(named, "text", ["id", ROW], [field], work))
     digest = found.select(ROW, F.explode("units").alias("u")).select(ROW, "u.*")
     hits = digest.join(F.broadcast(table), "digest").groupBy(ROW).agg(
         F.max(F.when(F.col("kind") == 0, F.col("license"))).alias("whole"),
