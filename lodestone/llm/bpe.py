@@ -8,11 +8,11 @@ and their ids are concatenated.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
+import re
 from collections.abc import Iterable
+from typing import NamedTuple
 
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -20,8 +20,11 @@ from lodestone.llm.common import map_texts
 
 #: Fixed pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMORY = 300_000
-LONG = 96
+#: The same for the standard library's faster engine: exact for ASCII, else but for characters that ForcedBpe replaces.
+ASCII_PATTERN = r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+WIDE_PATTERN = r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+#: Pieces that each of a worker's two generations of memory holds, and the longest that is remembered.
+MEMORY, REMEMBERED = 250_000, 48
 
 
 def byte_letters() -> dict[str, int]:
@@ -35,10 +38,37 @@ def byte_letters() -> dict[str, int]:
     return out
 
 
+class Piece(NamedTuple):
+    """What one piece of text becomes: ids, the same as decimal text, and the bytes that the ids decode to."""
+
+    ids: tuple[int, ...]
+    text: str
+    back: bytes
+
+
+class Memory:
+    """A bounded map in two generations: when the young one is full it becomes the old one, whose hits return to the young."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key: str) -> Piece | None:
+        found = self.old.get(key)
+        if found is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, value: Piece) -> None:
+        if len(self.young) >= self.size:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
+
 class ForcedBpe:
     """Encoder and decoder of one tokenizers file of byte-level BPE, equal to that library's results."""
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -46,8 +76,13 @@ class ForcedBpe:
         letters = byte_letters()
         raw = lambda token: bytes(letters[c] for c in token)
         self.ids = {raw(t): i for t, i in spec["model"]["vocab"].items()}
-        pair = lambda m: tuple(m if isinstance(m, list) else m.split(" "))
-        self.rank = {tuple(map(raw, pair(m))): r for r, m in enumerate(spec["model"]["merges"])}
+        merged = [b"".join(map(raw, m if isinstance(m, list) else m.split(" "))) for m in spec["model"]["merges"]]
+        order = [*sorted((t for t in self.ids if len(t) == 1), key=self.ids.__getitem__), *merged]
+        core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={t: r for r, t in enumerate(order)}, special_tokens={})
+        by_rank = [self.ids[t] for t in order]
+        one = core._core_bpe.encode_single_piece
+        #: Ids of one fragment: the merge of least rank, leftmost first, until none applies.
+        self.merge = one if by_rank == list(range(len(order))) else lambda fragment: [by_rank[r] for r in one(fragment)]
         self.token = {i: t for t, i in self.ids.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         for content, i in self.special.items():
@@ -57,110 +92,76 @@ class ForcedBpe:
             for a, b in zip(t, t[1:], strict=False):
                 self.inside[a << 8 | b] = 1
         names = sorted(self.special, key=len, reverse=True)
-        self.split_special = regex.compile("|".join(map(regex.escape, names))) if names else None
-        self.pattern = regex.compile(PATTERN)
+        self.split_special = re.compile("|".join(map(re.escape, names))) if names else None
+        self.ascii, self.wide = re.compile(ASCII_PATTERN, re.ASCII), re.compile(WIDE_PATTERN)
         self.probe = Tokenizer.from_file(path).pre_tokenizer
-        self.plain: set[str] = {chr(c) for c in range(128)}
+        self.plain: set[str] = {chr(c) for c in range(128) if not 0x1C <= c < 0x20}
         self.odd: dict[str, str] = {}
-        self.memory: dict[str, tuple[int, ...]] = {}
+        self.memory = Memory(MEMORY)
 
     def _learn(self, letters: Iterable[str]) -> None:
-        """Unicode versions differ between libraries: ask the tokenizer for each new character's class once."""
-        stand_in = {"L": "é", "N": "²", "S": "\xa0", "O": "☃"}
+        """Classes of characters differ between libraries: ask the tokenizer for each new character's once."""
+        ours = lambda c: [m.span() for m in self.wide.finditer(f"a{c}1{c}!{c}{c}b")]
         for c in letters:
-            text = f"a{c}1{c}!{c}{c}b"
-            theirs = [o for _, o in self.probe.pre_tokenize_str(text)]
-            ours = lambda c: [m.span() for m in self.pattern.finditer(f"a{c}1{c}!{c}{c}b")]
+            theirs = [o for _, o in self.probe.pre_tokenize_str(f"a{c}1{c}!{c}{c}b")]
             if theirs == ours(c):
                 self.plain.add(c)
             else:
-                self.odd[c] = next(s for s in stand_in.values() if ours(s) == theirs)
+                self.odd[c] = next(s for s in "é1\xa0☃" if ours(s) == theirs)
 
     def pieces(self, text: str) -> list[str]:
-        if not text.isascii():
-            new = set(text) - self.plain
-            if new:
-                self._learn(new - self.odd.keys())
-                if new & self.odd.keys():
-                    like = text.translate({ord(c): s for c, s in self.odd.items()})
-                    return [text[m.start() : m.end()] for m in self.pattern.finditer(like)]
-        return self.pattern.findall(text)
+        if text.isascii():
+            return self.ascii.findall(text)
+        new = set(text) - self.plain
+        if new:
+            self._learn(new - self.odd.keys())
+            if new & self.odd.keys():
+                like = text.translate({ord(c): s for c, s in self.odd.items()})
+                return [text[m.start() : m.end()] for m in self.wide.finditer(like)]
+        return self.wide.findall(text)
 
     def fragments(self, piece: bytes) -> list[bytes]:
         """piece cut at every byte pair that is inside no token."""
-        out, start, inside = [], 0, self.inside
-        for i in range(1, len(piece)):
-            if not inside[piece[i - 1] << 8 | piece[i]]:
-                out.append(piece[start:i])
-                start = i
-        out.append(piece[start:])
-        return out
-
-    def merge(self, fragment: bytes) -> list[int]:
-        if fragment in self.ids and len(fragment) == 1:
-            return [self.ids[fragment]]
-        parts = [fragment[i : i + 1] for i in range(len(fragment))]
-        if len(parts) > LONG:
-            return self._merge_long(parts)
-        rank, none = self.rank, 1 << 60
-        while len(parts) > 1:
-            ranks = [rank.get(p, none) for p in zip(parts, parts[1:], strict=False)]
-            best = min(ranks)
-            if best == none:
-                break
-            i = ranks.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ids[p] for p in parts]
-
-    def _merge_long(self, parts: list[bytes]) -> list[int]:
-        """The same by a heap over a linked list: long fragments take n log n."""
-        n, rank = len(parts), self.rank
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        live: list[bytes | None] = list(parts)
-        heap = [(rank[p], i, *p) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in rank]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if j >= n or live[i] != a or live[j] != b:
-                continue
-            live[i], live[j] = a + b, None
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for left in (before[i], i):
-                if left >= 0 and after[left] < n:
-                    pair = (live[left], live[after[left]])
-                    if pair in rank:
-                        heapq.heappush(heap, (rank[pair], left, *pair))
-        return [self.ids[p] for p in live if p is not None]
-
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        ids: list[int] = []
-        for fragment in self.fragments(piece.encode("utf-8")):
-            ids += self.merge(fragment)
-        found = tuple(ids)
-        if len(piece) <= 64:
-            if len(self.memory) >= MEMORY:
-                self.memory.clear()
-            self.memory[piece] = found
+        inside = self.inside
+        cuts = [i for i, (a, b) in enumerate(zip(piece, piece[1:], strict=False), 1) if not inside[a << 8 | b]]
+        if not cuts:
+            return [piece]
+        return [piece[a:b] for a, b in zip([0, *cuts], [*cuts, len(piece)], strict=True)]
+
+    def _piece(self, piece: str) -> Piece:
+        found = self.memory.get(piece)
+        if found is None:
+            ids: list[int] = []
+            for fragment in self.fragments(piece.encode("utf-8")):
+                ids += self.merge(fragment)
+            found = Piece(tuple(ids), ",".join(map(str, ids)), b"".join(map(self.token.__getitem__, ids)))
+            if len(piece) <= REMEMBERED:
+                self.memory.put(piece, found)
         return found
 
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
+    def _ordinary(self, text: str, out: list[Piece]) -> None:
+        known, other = self.memory.young.get, self._piece
+        for piece in self.pieces(text):
+            found = known(piece)
+            if found is None:
+                found = other(piece)
+                known = self.memory.young.get
+            out.append(found)
+
+    def encode_pieces(self, text: str) -> list[Piece]:
+        """What text's pieces become, in order."""
+        out: list[Piece] = []
         at = 0
-        marks = self.split_special.finditer(text) if self.split_special else ()
-        for m in marks:
-            self._ordinary(text[at : m.start()], ids)
-            ids.append(self.special[m[0]])
+        for m in self.split_special.finditer(text) if self.split_special else ():
+            self._ordinary(text[at : m.start()], out)
+            i = self.special[m[0]]
+            out.append(Piece((i,), str(i), self.token[i]))
             at = m.end()
-        self._ordinary(text[at:] if at else text, ids)
-        return ids
+        self._ordinary(text[at:] if at else text, out)
+        return out
 
-    def _ordinary(self, text: str, ids: list[int]) -> None:
-        known = self.memory.get
-        for piece in self.pieces(text):
-            ids += known(piece) or self._piece(piece)
+    def encode(self, text: str) -> list[int]:
+        return [i for p in self.encode_pieces(text) for i in p.ids]
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.token.__getitem__, ids)).decode("utf-8", "replace")
@@ -192,10 +193,12 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def work(texts: list[str]):
         c, counts, digests, texts_back = coder(path), [], [], []
         for t in texts:
-            ids = c.encode(t)
-            counts.append(len(ids))
-            digests.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-            texts_back.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
+            pieces = c.encode_pieces(t)
+            ids = ",".join([p.text for p in pieces])
+            back = b"".join([p.back for p in pieces]).decode("utf-8", "replace")
+            counts.append(ids.count(",") + 1 if ids else 0)
+            digests.append(hashlib.sha256(ids.encode()).hexdigest())
+            texts_back.append(hashlib.sha256(back.encode()).hexdigest())
         return counts, digests, texts_back
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]

@@ -307,6 +307,15 @@ def test_bpe_equals_tokenizers_on_odd_texts():
     assert own.decode([447, 247, 8582]) == t.decode([447, 247, 8582], skip_special_tokens=False)
 
 
+def test_memory_keeps_what_is_used():
+    m = bpe.Memory(2)
+    for k in "abc":
+        m.put(k, k)
+    assert m.get("a") == "a" and m.young == {"c": "c", "a": "a"}
+    m.put("d", "d")
+    assert m.young == {"d": "d"} and m.get("b") is None and m.get("c") == "c"
+
+
 def test_fragments_are_cut_where_no_token_reaches():
     own = bpe.ForcedBpe(tokenizer_path())
     piece = b"thqzxvq"
