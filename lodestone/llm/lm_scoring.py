@@ -1,6 +1,6 @@
 """Masked pseudo-likelihood: a two-sided window network, trained in numpy, predicts every token from both sides.
 
-Tokens are the corpus's most frequent words; the others share classes by their last letters. Every
+Tokens are words between white space: the corpus's most frequent ones, the others by classes of their last letters. Every
 partition trains the network on all of its texts from the same start, and the averages of the weights, by
 tokens, make the model (one round of federated averaging). Weights are added up on the executors; the driver receives one
 model, whatever the number of partitions.
@@ -8,7 +8,6 @@ model, whatever the number of partitions.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import WORD, cut, map_texts
+from lodestone.llm.common import cut, map_texts
 
 TOP_WORDS, RARE_CLASSES, HIDDEN = 159, 32, 16
 PAD = TOP_WORDS + RARE_CLASSES
@@ -28,7 +27,6 @@ OFFSETS = (-2, -1, 1, 2)
 BATCH, RATE = 2048, 0.5
 #: Distinct words that a task holds before it passes its counts on.
 HELD = 200_000
-_WORD = re.compile(WORD)
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -41,7 +39,7 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
         seen: Counter[str] = Counter()
         for part in parts:
             for text in part.column(0):
-                seen.update(_WORD.findall(text.as_py() or ""))
+                seen.update((text.as_py() or "").split())
                 if len(seen) >= HELD:
                     yield rows()
                     seen.clear()
@@ -51,24 +49,28 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 class Tokens:
-    """Words to classes: the top words' ranks, then a class by the last three letters, remembered per worker."""
+    """Words to classes: the top words' ranks, then a class by the last three letters."""
 
     def __init__(self, top: list[str]):
         self.known = {w: i for i, w in enumerate(top)}
-        self.memory = dict(self.known)
+        self.endings: dict[str, int] = {}
 
-    def _rare(self, word: str) -> int:
-        if len(self.memory) > 400_000:
-            self.memory = dict(self.known)
-        found = self.memory[word] = TOP_WORDS + zlib.crc32(word[-3:].encode("utf-8", "surrogatepass")) % RARE_CLASSES
+    def _ending(self, end: str) -> int:
+        if len(self.endings) > 100_000:
+            self.endings.clear()
+        found = self.endings[end] = TOP_WORDS + zlib.crc32(end.encode("utf-8", "surrogatepass")) % RARE_CLASSES
         return found
 
     def __call__(self, text: str) -> np.ndarray:
-        known, rare = self.memory.get, self._rare
-        words = _WORD.findall(text)
-        out = [known(w, -1) for w in words]
-        if -1 in out:
-            out = [rare(w) if c < 0 else c for w, c in zip(words, out, strict=True)]
+        known, ends, new = self.known.get, self.endings.get, self._ending
+        out = []
+        for w in text.split():
+            c = known(w)
+            if c is None:
+                c = ends(w[-3:])
+                if c is None:
+                    c = new(w[-3:])
+            out.append(c)
         return np.array(out, np.int64)
 
 
