@@ -1,6 +1,8 @@
 """Masked pseudo-likelihood: a two-sided window network, trained in numpy, predicts every token from both sides.
 
-Tokens are words between white space: the corpus's most frequent ones, the others by classes of their last letters. Every
+Tokens are words between white space, all of the corpus's: the network predicts the most frequent ones and, for the others,
+classes by their last letters; within a class the full counts give each word's probability. The numbers of frequent words and classes
+follow the vocabulary. Every
 partition trains the network on all of its texts from the same start, and the averages of the weights, by
 tokens, make the model (one round of federated averaging). Weights are added up on the executors; the driver receives one
 model, whatever the number of partitions.
@@ -8,6 +10,7 @@ model, whatever the number of partitions.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import cut, map_texts
+from lodestone.llm.common import ROW, cut, map_texts
 
 TOP_WORDS, RARE_CLASSES, HIDDEN = 159, 32, 16
 PAD = TOP_WORDS + RARE_CLASSES
@@ -27,6 +30,10 @@ OFFSETS = (-2, -1, 1, 2)
 BATCH, RATE = 2048, 0.5
 #: Distinct words that a task holds before it passes its counts on.
 HELD = 200_000
+#: Words whose counts travel with the tasks; the counts of all others are joined.
+HEAD = 200_000
+#: Classes as stored, and units of a nat in sums of logarithms.
+CODE, SCALE = np.uint16, 1_000_000
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -51,38 +58,39 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
 class Tokens:
     """Words to classes: the top words' ranks, then a class by the last three letters."""
 
-    def __init__(self, top: list[str]):
+    def __init__(self, top: list[str], rare: int = RARE_CLASSES):
         self.known = {w: i for i, w in enumerate(top)}
+        self.first, self.rare = len(top), rare
         self.endings: dict[str, int] = {}
 
-    def _ending(self, end: str) -> int:
-        if len(self.endings) > 100_000:
-            self.endings.clear()
-        found = self.endings[end] = TOP_WORDS + zlib.crc32(end.encode("utf-8", "surrogatepass")) % RARE_CLASSES
-        return found
-
-    def __call__(self, text: str) -> np.ndarray:
-        known, ends, new = self.known.get, self.endings.get, self._ending
-        out = []
-        for w in text.split():
-            c = known(w)
-            if c is None:
-                c = ends(w[-3:])
-                if c is None:
-                    c = new(w[-3:])
-            out.append(c)
-        return np.array(out, np.int64)
-
-
-def parameters(seed: int = 17) -> dict[str, np.ndarray]:
+    def of(self, word: str) -> int:
+        c = self.known.get(word)
+        if c is not None:
+            return c
+        end = word[-3:]
+        c = self.endings.get(end)
+        if c is None:
+            if len(self.endings) > 100_000:
+                self.endings.clear()
+            c = self.endings[end] = self.first + zlib.crc32(end.encode("utf-8", "surrogatepass")) % self.rare
+        return c
+
+
+def classes_for(words: int) -> tuple[int, int]:
+    """(words that are classes of their own, classes of the others): both follow the logarithm of the vocabulary."""
+    bits = math.log2(words + 1)
+    return max(TOP_WORDS, int(8 * bits)), max(RARE_CLASSES, int(2 * bits))
+
+
+def parameters(seed: int = 17, classes: int = PAD) -> dict[str, np.ndarray]:
     """The common start: small random embeddings per offset, no bias."""
     rnd = np.random.default_rng(seed)
-    shape = (len(OFFSETS), VOCABULARY, HIDDEN)
+    shape = (len(OFFSETS), classes + 1, HIDDEN)
     return {
         "embed": rnd.normal(0, 0.1, shape).astype(np.float32),
         "hidden": np.zeros(HIDDEN, np.float32),
-        "out": rnd.normal(0, 0.1, (HIDDEN, VOCABULARY)).astype(np.float32),
-        "bias": np.zeros(VOCABULARY, np.float32),
+        "out": rnd.normal(0, 0.1, (HIDDEN, classes + 1)).astype(np.float32),
+        "bias": np.zeros(classes + 1, np.float32),
     }
 
 
@@ -90,19 +98,19 @@ def flat(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in sorted(p)])
 
 
-def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
+def unflat(values: np.ndarray, start: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, like in sorted(parameters().items()):
+    for k, like in sorted(start.items()):
         out[k] = values[at : at + like.size].reshape(like.shape).astype(np.float32)
         at += like.size
     return out
 
 
-def padded(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def padded(texts: list[np.ndarray], pad: int = PAD) -> tuple[np.ndarray, np.ndarray]:
     """All tokens with two pads around each text, and the places of the tokens."""
-    gap = np.full(2, PAD, np.int64)
+    gap = np.full(2, pad, np.int64)
     row = np.concatenate([gap, *(x for t in texts for x in (t, gap))])
-    return row, np.flatnonzero(row != PAD)
+    return row, np.flatnonzero(row != pad)
 
 
 def forward(p: dict[str, np.ndarray], row: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -134,7 +142,7 @@ def train(p: dict[str, np.ndarray], row: np.ndarray, places: np.ndarray, rate: f
         flat_back = back.ravel()
         for k, x in enumerate(near):
             added = np.bincount((x[:, None] * HIDDEN + across).ravel(), flat_back, size)
-            p["embed"][k] -= (4 * step * added).reshape(VOCABULARY, HIDDEN).astype(p["embed"].dtype)
+            p["embed"][k] -= (4 * step * added).reshape(p["embed"][k].shape).astype(p["embed"].dtype)
 
 
 def token_scores(p: dict[str, np.ndarray], row: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -143,60 +151,108 @@ def token_scores(p: dict[str, np.ndarray], row: np.ndarray, places: np.ndarray)
     return np.concatenate(parts) if parts else np.zeros(0)
 
 
-def trained(docs: DataFrame, text_col: str, top: list[str], counts: np.ndarray) -> dict[str, np.ndarray]:
+def trained(coded: DataFrame, start: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """The average, by tokens, of what every partition's pass over its texts makes of the common start."""
-    start = parameters()
-    start["bias"] = np.log((counts + 1) / (counts.sum() + len(counts))).astype(np.float32)
+    pad = len(start["bias"]) - 1
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, own, n = Tokens(top), {k: v.copy() for k, v in start.items()}, 0
+        own, n = {k: v.copy() for k, v in start.items()}, 0
         for part in parts:
             for i in range(0, part.num_rows, 256):
-                row, places = padded([tokens(t or "") for t in part.column(0).slice(i, 256).to_pylist()])
+                row, places = padded([np.frombuffer(t, CODE).astype(np.int64) for t in part.column(0).slice(i, 256).to_pylist()], pad)
                 train(own, row, places)
                 n += len(places)
         if n:
             values = flat(own).astype(np.float64) * n
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values), pa.array(np.full(len(values), n))], ["k", "w", "n"])
 
-    summed = docs.select(text_col).mapInArrow(work, "k long, w double, n long").groupBy("k").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
+    summed = coded.select("codes").mapInArrow(work, "k long, w double, n long").groupBy("k").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
     model = sorted((r.k, r.w / r.n) for r in cut(summed).collect())
-    return unflat(np.array([v for _, v in model])) if model else start
+    return unflat(np.array([v for _, v in model]), start) if model else start
 
 
-def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_tokens, log_prob (summed), mean_log_prob, pseudo_perplexity.
+def coded_texts(named: DataFrame, top: list[str], rare: int, totals: np.ndarray, head: dict[str, int]) -> DataFrame:
+    """id, row, the classes of the words, the sum of log p(word | class) over words of head, and the other words.
 
-    A null, empty or blank text has no tokens, log_prob 0 and null means. Repeated rows score alike. Ties among the
-    words of equal counts are broken by the word. An empty table gives no rows. Counts and training cover all texts.
+    The others' terms are without log n(word), which comes from a join with the counts: the sum is whole after it.
     """
-    counted = cut(word_counts(docs, text_col))
-    top = [(r.word, r.n) for r in counted.orderBy(F.desc("n"), "word").limit(TOP_WORDS).collect()]
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    words = [w for w, _ in top]
-    rest = max(0, total - sum(n for _, n in top)) / RARE_CLASSES
-    counts = np.array([n for _, n in top] + [0] * (TOP_WORDS - len(top)) + [rest] * RARE_CLASSES + [0], float)
-    model = trained(docs, text_col, words, counts)
+    log_totals = np.log(np.maximum(totals, 1))
 
     def work(texts: list[str]):
-        tokens = _tokens(tuple(words))
-        own = [tokens(t) for t in texts]
-        row, places = padded(own)
-        scores = token_scores(model, row, places)
-        ends = np.cumsum([len(x) for x in own])
-        sums = [float(scores[e - len(x) : e].sum()) for e, x in zip(ends, own, strict=True)]
-        means = [s / len(x) if len(x) else None for s, x in zip(sums, own, strict=True)]
-        return [len(x) for x in own], sums, means, [None if m is None else float(np.exp(-m)) for m in means]
+        memory = _memory((tuple(top[:50]), len(top), rare, len(head), float(totals.sum())))
+        tokens = Tokens(top, rare)
+        codes, sums, others = [], [], []
+        for text in texts:
+            words = text.split()
+            pairs = []
+            for w in words:
+                pair = memory.get(w)
+                if pair is None:
+                    if len(memory) >= 2 * HEAD:
+                        memory.clear()
+                    n, c = head.get(w), tokens.of(w)
+                    pair = memory[w] = (c, (math.log(n) if n else 0.0) - log_totals[c], n is None)
+                pairs.append(pair)
+            codes.append(np.array([p[0] for p in pairs], CODE).tobytes())
+            sums.append(float(sum(p[1] for p in pairs)))
+            others.append([w for w, p in zip(words, pairs, strict=True) if p[2]])
+        return codes, sums, others
+
+    fields = [T.StructField("codes", T.BinaryType()), T.StructField("inside", T.DoubleType()), T.StructField("others", T.ArrayType(T.StringType()))]
+    return map_texts(named, "text", ["id", ROW], fields, work)
 
-    fields = [T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("log_prob", "mean_log_prob", "pseudo_perplexity"))]
-    return map_texts(docs, text_col, [id_col], fields, work)
 
+def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: id, n_tokens, log_prob (summed), mean_log_prob, pseudo_perplexity.
 
-_TOKENS: dict[tuple, Tokens] = {}
-
+    Every word of the corpus is in the vocabulary: log p(word) = log p(class | neighbours) + log p(word | class), the second
+    term from the counts of all texts. HEAD words' counts travel to the workers, the others' are joined; HEAD changes no result.
+    A null, empty or blank text has no tokens, log_prob 0 and null means. Repeated rows score alike. Ties among the
+    words of equal counts are broken by the word. An empty table gives no rows. Counts and training cover all texts.
+    """
+    counted = cut(word_counts(docs, text_col))
+    # Written first: a collected top list would send every partition's candidates to the driver.
+    frequent = sorted(((r.word, r.n) for r in cut(counted.orderBy(F.desc("n"), "word").limit(HEAD)).collect()), key=lambda x: (-x[1], x[0]))
+    vocabulary = counted.count()
+    n_top, rare = classes_for(vocabulary)
+    words = [w for w, _ in frequent[:n_top]]
+    ending = F.crc32(F.encode(F.right("word", F.lit(3)), "utf-8")) % rare
+    others = {r.c: r.n for r in counted.where(~F.col("word").isin(words)).groupBy(ending.alias("c")).agg(F.sum("n").alias("n")).collect()}
+    counts = np.array([n for _, n in frequent[:n_top]] + [others.get(c, 0) for c in range(rare)] + [0], float)
+    start = parameters(classes=len(counts) - 1)
+    start["bias"] = np.log((counts + 1) / (counts.sum() + len(counts))).astype(np.float32)
+    named = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias(ROW), F.col(text_col).alias("text"))
+    coded = cut(coded_texts(named, words, rare, counts, dict(frequent)))
+    model = trained(coded, start)
+    pad = len(counts) - 1
 
-def _tokens(words: tuple) -> Tokens:
-    if words not in _TOKENS:
-        _TOKENS.clear()
-        _TOKENS[words] = Tokens(list(words))
-    return _TOKENS[words]
+    def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for i in range(0, part.num_rows, 512):
+                piece = part.slice(i, 512)
+                own = [np.frombuffer(t, CODE).astype(np.int64) for t in piece.column(2).to_pylist()]
+                scores = token_scores(model, *padded(own, pad))
+                ends = np.cumsum([len(x) for x in own])
+                sums = [float(scores[e - len(x) : e].sum()) for e, x in zip(ends, own, strict=True)]
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), piece.column(3), pa.array([len(x) for x in own], pa.int64()), pa.array(sums, pa.float64())], ["id", ROW, "inside", "n_tokens", "outer"])
+
+    schema = T.StructType([coded.schema["id"], T.StructField(ROW, T.LongType()), *(T.StructField(c, k()) for c, k in (("inside", T.DoubleType), ("n_tokens", T.LongType), ("outer", T.DoubleType)))])
+    scored = coded.select("id", ROW, "codes", "inside").mapInArrow(score, schema)
+    # Integers add up to the same sum in any order, so repeated rows stay alike.
+    logs = F.round(F.log("n") * SCALE).cast("long")
+    tail = coded.select(ROW, F.explode("others").alias("word")).join(counted.select("word", logs.alias("log_n")), "word").groupBy(ROW).agg(F.sum("log_n").alias("tail"))
+    total = F.col("outer") + F.col("inside") + F.coalesce(F.col("tail"), F.lit(0)) / SCALE
+    out = scored.join(tail, ROW, "left").withColumn("log_prob", F.when(F.col("n_tokens") > 0, total).otherwise(0.0))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
+    return out.select(F.col("id").alias(id_col), "n_tokens", "log_prob", mean.alias("mean_log_prob"), F.exp(-mean).alias("pseudo_perplexity"))
+
+
+_MEMORY: dict[tuple, dict[str, tuple]] = {}
+
+
+def _memory(key: tuple) -> dict[str, tuple]:
+    """What a worker remembers of the words of one corpus."""
+    if key not in _MEMORY:
+        _MEMORY.clear()
+        _MEMORY[key] = {}
+    return _MEMORY[key]

@@ -54,6 +54,23 @@ def test_pseudo_likelihood(spark, docs):
     assert lm_scoring.pseudo_likelihood(table(spark, [])).count() == 0
 
 
+def test_rare_words_are_scored_by_their_counts(spark, monkeypatch):
+    rows = [(i, "ab " * 50 + f"qqing{i % 2}xyz") for i in range(60)] + [(60, "ab " * 50 + "unseen1xyz")]
+    rows += [(100 + i, " ".join(f"w{i}x{k}" for k in range(40))) for i in range(20)]
+    by = {r.doc_id: r for r in lm_scoring.pseudo_likelihood(table(spark, rows)).collect()}
+    assert len(by) == len(rows)
+    # All of these end alike, so only the counts within the class, or a class of its own, tell 30 occurrences from one.
+    assert by[0].log_prob > by[60].log_prob + 2
+    monkeypatch.setattr(lm_scoring, "HEAD", 170)
+    again = {r.doc_id: r for r in lm_scoring.pseudo_likelihood(table(spark, rows)).collect()}
+    assert all(abs(again[k].log_prob - by[k].log_prob) < 1e-3 for k in by)
+
+
+def test_vocabulary_follows_the_corpus():
+    assert lm_scoring.classes_for(10**9)[0] > lm_scoring.classes_for(10**6)[0] > lm_scoring.classes_for(10)[0] - 1
+    assert lm_scoring.classes_for(10**9)[1] > lm_scoring.classes_for(10**6)[1]
+
+
 def test_training_beats_word_frequencies():
     rnd = np.random.default_rng(1)
     start = rnd.integers(0, 40, 4000)
