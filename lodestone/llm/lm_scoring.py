@@ -2,10 +2,10 @@
 
 Tokens are words between white space, all of the corpus's: the network predicts the most frequent ones and, for the others,
 classes by their last letters; within a class the full counts give each word's probability. The numbers of frequent words and classes
-follow the vocabulary. Every
-partition trains the network on all of its texts from the same start, and the averages of the weights, by
-tokens, make the model (one round of federated averaging). Weights are added up on the executors; the driver receives one
-model, whatever the number of partitions.
+follow the vocabulary. Texts are dealt by hash to shards of many tokens. In each round the shards of one split train the network from
+the same start, and the averages of the weights, by tokens, start the next round (federated averaging). All splits
+are used, then rounds go on until the loss of held-out texts settles. Weights are added up on the executors; the driver receives one
+model a round, whatever the number of partitions.
 """
 
 from __future__ import annotations
@@ -32,6 +32,10 @@ BATCH, RATE = 2048, 0.5
 HELD = 200_000
 #: Words whose counts travel with the tasks; the counts of all others are joined.
 HEAD = 200_000
+#: Tokens of a shard at least, and tokens between two looks at a shard's rows.
+SHARD, CHUNK = 500_000, 64 * BATCH
+#: One text in so many is held out; splits of the shards, one a round; a round's share of the loss below which it has settled.
+HELD_OUT, SPLITS, SETTLED, MOST_ROUNDS = 50, 4, 0.002, 40
 #: Classes as stored, and units of a nat in sums of logarithms.
 CODE, SCALE = np.uint16, 1_000_000
 
@@ -151,26 +155,81 @@ def token_scores(p: dict[str, np.ndarray], row: np.ndarray, places: np.ndarray)
     return np.concatenate(parts) if parts else np.zeros(0)
 
 
-def trained(coded: DataFrame, start: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """The average, by tokens, of what every partition's pass over its texts makes of the common start."""
+def chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(shard, texts) of rows (shard, codes) sorted by shard: where they end depends on the texts, not on batches or files."""
+    now, texts, size = None, [], 0
+    for part in parts:
+        for i in range(0, part.num_rows, 256):
+            for shard, codes in zip(*(part.column(c).slice(i, 256).to_pylist() for c in (0, 1)), strict=True):
+                if texts and (shard != now or size >= CHUNK):
+                    yield now, texts
+                    texts, size = [], 0
+                now = shard
+                texts.append(np.frombuffer(codes, CODE).astype(np.int64))
+                size += len(texts[-1])
+    if texts:
+        yield now, texts
+
+
+def one_round(coded: DataFrame, start: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The average, by tokens, of what a pass over each shard makes of start."""
     pad = len(start["bias"]) - 1
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n = {k: v.copy() for k, v in start.items()}, 0
-        for part in parts:
-            for i in range(0, part.num_rows, 256):
-                row, places = padded([np.frombuffer(t, CODE).astype(np.int64) for t in part.column(0).slice(i, 256).to_pylist()], pad)
-                train(own, row, places)
-                n += len(places)
+        total, seen, own, n, now = 0.0, 0, None, 0, None
+        for shard, texts in chunks(parts):
+            if shard != now:
+                if n:
+                    total, seen = total + flat(own).astype(np.float64) * n, seen + n
+                own, n, now = {k: v.copy() for k, v in start.items()}, 0, shard
+            row, places = padded(texts, pad)
+            train(own, row, places)
+            n += len(places)
         if n:
-            values = flat(own).astype(np.float64) * n
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values), pa.array(np.full(len(values), n))], ["k", "w", "n"])
+            total, seen = total + flat(own).astype(np.float64) * n, seen + n
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total), pa.array(np.full(len(total), seen))], ["k", "w", "n"])
 
-    summed = coded.select("codes").mapInArrow(work, "k long, w double, n long").groupBy("k").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
+    summed = coded.select("shard", "codes").mapInArrow(work, "k long, w double, n long").groupBy("k").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
     model = sorted((r.k, r.w / r.n) for r in cut(summed).collect())
     return unflat(np.array([v for _, v in model]), start) if model else start
 
 
+def mean_loss(coded: DataFrame, model: dict[str, np.ndarray]) -> float | None:
+    """Mean negative log-probability of the classes of all texts; None without tokens."""
+    pad = len(model["bias"]) - 1
+
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in chunks(parts):
+            scores = token_scores(model, *padded(texts, pad))
+            yield pa.RecordBatch.from_arrays([pa.array([-float(scores.sum())]), pa.array([len(scores)])], ["loss", "n"])
+
+    loss, n = coded.select("shard", "codes").mapInArrow(work, "loss double, n long").agg(F.sum("loss"), F.sum("n")).first()
+    return loss / n if n else None
+
+
+def trained(coded: DataFrame, start: dict[str, np.ndarray], shards: int) -> dict[str, np.ndarray]:
+    """Rounds over the splits of the shards in turn: all at least once, then until the held-out loss settles.
+
+    Texts are held out by hash; a corpus too small to have any is judged by its own loss.
+    """
+    splits = min(SPLITS, shards)
+    held, own = coded.where("held"), coded.where("NOT held")
+    before = mean_loss(held, start)
+    if before is None:
+        held, before = own, mean_loss(own, start)
+    if before is None:
+        return start
+    model = start
+    for t in range(MOST_ROUNDS):
+        model = one_round(own.where(F.col("shard") % splits == t % splits), model)
+        loss = mean_loss(held, model)
+        if t + 1 >= splits and before - loss < SETTLED * before:
+            break
+        before = loss
+    return model
+
+
 def coded_texts(named: DataFrame, top: list[str], rare: int, totals: np.ndarray, head: dict[str, int]) -> DataFrame:
     """id, row, the classes of the words, the sum of log p(word | class) over words of head, and the other words.
 
@@ -199,7 +258,7 @@ def coded_texts(named: DataFrame, top: list[str], rare: int, totals: np.ndarray,
         return codes, sums, others
 
     fields = [T.StructField("codes", T.BinaryType()), T.StructField("inside", T.DoubleType()), T.StructField("others", T.ArrayType(T.StringType()))]
-    return map_texts(named, "text", ["id", ROW], fields, work)
+    return map_texts(named, "text", ["id", ROW, "h"], fields, work)
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,9 +280,13 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     counts = np.array([n for _, n in frequent[:n_top]] + [others.get(c, 0) for c in range(rare)] + [0], float)
     start = parameters(classes=len(counts) - 1)
     start["bias"] = np.log((counts + 1) / (counts.sum() + len(counts))).astype(np.float32)
-    named = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias(ROW), F.col(text_col).alias("text"))
-    coded = cut(coded_texts(named, words, rare, counts, dict(frequent)))
-    model = trained(coded, start)
+    named = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias(ROW), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"))
+    # Shards go by hash, so training doesn't see how the table is cut into files; they lengthen with the corpus.
+    shards = max(1, math.ceil(counts.sum() / max(SHARD, 100 * math.sqrt(counts.sum()))))
+    files = min(shards, max(math.ceil(shards / 8), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    placed = coded_texts(named, words, rare, counts, dict(frequent)).withColumns({"shard": F.pmod("h", F.lit(shards)), "held": F.pmod(F.xxhash64("h"), F.lit(HELD_OUT)) == 0})
+    coded = cut(placed.repartition(files, "shard").sortWithinPartitions("shard", "h"))
+    model = trained(coded, start, shards)
     pad = len(counts) - 1
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -66,6 +66,16 @@ def test_rare_words_are_scored_by_their_counts(spark, monkeypatch):
     assert all(abs(again[k].log_prob - by[k].log_prob) < 1e-3 for k in by)
 
 
+def test_scores_do_not_follow_the_file_layout(spark):
+    rnd = np.random.default_rng(3)
+    rows = [(i, " ".join(f"a{k} b{k}" for k in rnd.integers(0, 30, 200))) for i in range(120)]
+    docs = table(spark, rows)
+    one, many = ({r.doc_id: r for r in lm_scoring.pseudo_likelihood(docs.repartition(n)).collect()} for n in (1, 12))
+    assert all(abs(one[k].mean_log_prob - many[k].mean_log_prob) < 1e-3 for k in one)
+    # Frequencies alone give log(1/60); every second word follows from its neighbour.
+    assert np.mean([many[k].mean_log_prob for k in many]) > np.log(1 / 60) + 0.3
+
+
 def test_vocabulary_follows_the_corpus():
     assert lm_scoring.classes_for(10**9)[0] > lm_scoring.classes_for(10**6)[0] > lm_scoring.classes_for(10)[0] - 1
     assert lm_scoring.classes_for(10**9)[1] > lm_scoring.classes_for(10**6)[1]
