@@ -24,7 +24,6 @@ from lodestone.llm.common import cut, map_texts
 LABELLED_ROWS = 12_000
 #: Stems kept for the logistic model, and the labelled documents that one needs.
 STEMS, SUPPORT = 512, 4
-LONGEST = 40
 MEMORY = 300_000
 #: What a character may stand for, beside itself.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", "#": "h"}
@@ -41,6 +40,7 @@ _TRIM = re.compile(r"^[\W_]+|[\W_]+$")
 _RUNS = re.compile(r"(.)\1+")
 _TRIPLE = re.compile(r"(.)\1\1")
 _SPLIT = re.compile(r"[\W_]+")
+_HARD = re.compile("[^\\w" + re.escape("".join(c for c in LEET if not c.isalnum())) + "]+")
 _TABLE = np.zeros(0x10000, np.int64)
 for _c in range(0x10000):
     if (_x := chr(_c)).isalpha():
@@ -85,7 +85,7 @@ def disguised(word: str) -> bool:
     """Whether a lower-case word without outer marks has letters and anything that isn't plain spelling."""
     if word.isalpha():
         return bool(_TRIPLE.search(word))
-    return len(word) <= LONGEST and any(c.isalpha() for c in word)
+    return any(c.isalpha() for c in word)
 
 
 def lattice(word: str) -> list[list[tuple[str, float]]]:
@@ -108,12 +108,13 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
 
 def restore(word: str, model: np.ndarray, spaced: bool = False) -> str:
     """The likeliest reading of word; of a spaced-out run, blanks mark where new words start."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # Readings are linked backwards, so the time is linear in the length.
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for options in lattice(word):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         if spaced:
             options = options + [(" " + o, c + SPLIT) for o, c in options if o]
-        for (a, b), (cost, text) in states.items():
+        for (a, b), (cost, path) in states.items():
             for reading, extra in options:
                 x, y, total = a, b, cost + extra
                 for c in reading:
@@ -121,19 +122,27 @@ def restore(word: str, model: np.ndarray, spaced: bool = False) -> str:
                     total -= float(model[x, y, z])
                     x, y = y, z
                 if (x, y) not in after or total < after[x, y][0]:
-                    after[x, y] = (total, text + reading)
+                    after[x, y] = (total, (path, reading))
         states = after
-    end = {k: (v[0] - float(model[k[0], k[1], 0]), v[1]) for k, v in states.items()}
-    return min(end.values())[1].strip()
+    path = min(((v[0] - float(model[k[0], k[1], 0]), v[1]) for k, v in states.items()), key=lambda e: e[0])[1]
+    out = []
+    while path is not None:
+        path, reading = path
+        out.append(reading)
+    return "".join(reversed(out)).strip()
 
 
 def restored_words(token: str, model: np.ndarray) -> list[str]:
-    """Words that one lower-case token stands for: its parts between marks and, if it looks disguised, its reading."""
+    """Words that one lower-case token stands for: its parts between marks and, if they or it look disguised, their readings.
+
+    Parts are taken between all marks and between those that stand for no letter ('dumb,1d!0t').
+    """
     core = _TRIM.sub("", token)
     if core.isalpha() and not _TRIPLE.search(core):
         return [core]
-    words = [w for w in _SPLIT.split(core) if w.isalpha()]
-    for form in dict.fromkeys((core, token)):
+    parts = _SPLIT.split(core)
+    words = [w for w in parts if w.isalpha()]
+    for form in dict.fromkeys((core, token, *parts, *_HARD.split(token))):
         if disguised(form):
             words.append(restore(form, model))
     return words
@@ -152,8 +161,7 @@ def words_of(text: str, model: np.ndarray, memory: dict[str, list[str]]) -> set[
         out.update(found)
     for run in set(_SPACED.findall(low)):
         joined = run.replace(" ", "").replace("\t", "")
-        for i in range(0, len(joined), LONGEST):
-            out.update(restore(joined[i : i + LONGEST], model, spaced=True).split())
+        out.update(restore(joined, model, spaced=True).split())
     return out
 
 

@@ -135,6 +135,16 @@ def test_spaced_words_are_joined(letters):
     assert {"you", "idiot"} <= toxicity.words_of("you i d i o t", letters, {})
 
 
+def test_long_tokens_and_runs_are_decoded_whole(letters):
+    long = '{"a":"' + "x1/" * 30 + '","b":"1d10t"}'
+    for token in (long, "dumb,1d10t", "https://example.org/some/very/long/path/to/a/page/1d10t?x=1"):
+        assert "idiot" in toxicity.restored_words(token, letters), token
+    for n in range(34, 44):
+        run = " ".join(("you" * 20)[:n] + "idiot")
+        assert any("idiot" in w for w in toxicity.words_of(run, letters, {})), n
+    assert len(toxicity.restore("1d10t" * 4000, letters)) >= 4000
+
+
 def test_toxicity_on_held_out_rows(spark):
     rnd = np.random.default_rng(2)
     calm = [f"w{chr(97 + i % 26)}rd{chr(97 + i // 26)}" for i in range(200)]
