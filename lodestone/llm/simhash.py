@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import ROW, WORD, components, cut, map_texts, with_rows
+from lodestone.llm.common import ROW, WORD, components, cut, free, map_texts, with_rows, without
 
 BYTES, DISTANCE, SHINGLE, SEED = 8, 4, 4, 42
 SHARED = BYTES - DISTANCE
@@ -190,15 +190,24 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.mapInArrow(links_of_lists, "a long, b long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """One row per row of docs: id, fingerprint (hex), component_id, is_first (and row_col, if given).
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: id, fingerprint (hex), component_id, is_first.
 
     component_id is the smallest id reachable over links, the row's own included; null ids count only where a
     component has no other. Null or wordless texts have fingerprint zero and are linked like any other. is_first marks one row
     of each component: smallest id, then input order. Repeated rows share a fingerprint. An empty table gives no rows.
     """
-    row = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
-    named = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.col(text_col).alias("text"))
+    return _marked(docs.withColumn(ROW, F.monotonically_increasing_id()), id_col, text_col).select(
+        F.col("id").alias(id_col),
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("top_id").alias("component_id"),
+        (F.col("row") == F.col("top_row")).alias("is_first"),
+    )
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, row, fp, top_id, top_row) of docs with ROW: the fingerprint, and the first row of its component."""
+    named = docs.select(F.col(id_col).alias("id"), F.col(ROW).alias("row"), F.col(text_col).alias("text"))
     marked = cut(fingerprints(named, "text", ["id", "row"]))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least")
     distinct = cut(marked.groupBy("fp").agg(least))
@@ -206,20 +215,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = components(edges)
     member = distinct.join(joined, distinct.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
     member = cut(member)
+    free(edges, distinct)
     tops = cut(member.groupBy("c").agg(F.min("least").alias("top")))
-    tops = cut(member.join(tops, "c").select("fp", F.col("top.id").alias("top_id"), F.col("top.row").alias("top_row")))
-    out = marked.join(tops, "fp")
-    return out.select(
-        F.col("id").alias(id_col),
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.col("top_id").alias("component_id"),
-        (F.col("row") == F.col("top_row")).alias("is_first"),
-        *([F.col("row").alias(row_col)] if row_col else []),
-    )
+    found = cut(member.join(tops, "c").select("fp", F.col("top.id").alias("top_id"), F.col("top.row").alias("top_row")))
+    free(member, tops)
+    return marked.join(found, "fp")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component; the columns stay."""
     rows = with_rows(docs)
-    dropped = near_groups(rows, id_col, text_col, ROW).where("not is_first").select(ROW)
-    return rows.join(dropped, ROW, "left_anti").drop(ROW)
+    return without(rows, _marked(rows, id_col, text_col).where("row != top_row").select(F.col("row").alias(ROW)))

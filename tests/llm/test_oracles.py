@@ -26,8 +26,8 @@ def test_pipeline(spark, sf_dir):
     from tests.llm.test_contract_ops import brute_base, brute_quality, check_pack, norm, plain_fingerprint
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    words = " ".join(f"word{i}" for i in range(80))
-    planted = [(9999, f"{words} password = Zx81kQw93LmP07aa", "en", "src0", 0)]
+    plain = max((r.text for r in corpus_pipeline.quality(spark, docs, sf_dir).collect()), key=len)
+    planted = [(-1, f"{plain} password = Zx81kQw93LmP07aa", "en", "src0", 0)]
     docs = docs.unionByName(spark.createDataFrame(planted, docs.schema))
     before = {r.doc_id: r for r in docs.collect()}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact", "near", "secrets", "packing"]
