@@ -1,8 +1,13 @@
 """Quality rules whose thresholds adapt: mergeable quantile sketches per language and source, then a joined filter.
 
-The sketch is a histogram over integer buckets of bounded relative width (1/16): a value keeps its five leading
+The sketch is a histogram over integer buckets of bounded relative width (1/64): a value keeps its seven leading
 binary digits. Bucket counts add up, so sketches of any split of the rows merge to the same sketch, and those
 of a language or of all documents come from those of its sources without another look at the texts.
+
+Rates that vary in any text (punctuation, word length, share of short words) are fenced on both sides of the group's median, at WIDTH
+times the smaller of its two distances to the 0.1 and 0.9 quantiles: a third of bad rows on one side doesn't widen that one. Rates that are
+zero in most texts (repeated lines, repeated words) are fenced above, as far beyond the 0.99 quantile as that lies from the median.
+No distance is a constant. Rows that fail the base rules don't count, and copies count once.
 """
 
 from __future__ import annotations
@@ -15,16 +20,22 @@ from pyspark.sql import types as T
 
 from lodestone.llm.common import WORD, cut, map_texts
 
-SYMBOLS, MARKS = "#*$%&|<>", "!?"
-MIN_WORDS, MAX_REPEATED = 50, 50
-#: A group's own quantiles hold from so many documents on; smaller ones use their language's, then all documents'.
+SYMBOLS, PUNCTUATION = "#*$%&|<>", r"[!-/:-@\[-`{-~]"
+MIN_WORDS, MAX_REPEATED, SHORT_WORD = 50, 50, 3
+#: A group's own quantiles hold from so many different documents on; smaller ones use their language's, then all documents'.
 MIN_GROUP = 100
-#: Fence above the upper quartile in quartile distances, and the least distance counted, by rate.
-FENCE = 4
-RATES = {"symbol_rate": 15, "mark_rate": 15, "dup_line_rate": 110, "repeat_rate": 110, "word_length": 7}
-_WORD = re.compile(WORD)
+#: Leading binary digits that a sketch keeps, and the fence in quantile distances.
+DIGITS, WIDTH = 7, 6
+#: Rates with a fence on both sides, and those with one above: numerator, denominator and scale.
+TWO_SIDED = {"punct_rate": ("n_punct", "word_chars", 1000), "word_length": ("word_chars", "n_words", 100), "short_rate": ("n_short", "n_words", 1000)}
+ABOVE = {"dup_line_rate": ("n_dup_lines", "n_lines", 1000), "repeat_rate": ("n_repeat_words", "n_words", 1000)}
+RATES = TWO_SIDED | ABOVE
+#: Quantiles per rate, in hundredths.
+LEVELS = {r: (10, 50, 90) for r in TWO_SIDED} | {r: (50, 99) for r in ABOVE}
+FENCES = [*(f"min_{r}" for r in TWO_SIDED), *(f"max_{r}" for r in RATES)]
+_WORD, _PUNCTUATION = re.compile(WORD), re.compile(PUNCTUATION + "+")
 _SPACES = " \t\n\v\f\r"
-METRICS = ["n_words", "word_chars", "n_symbols", "n_marks", "n_lines", "n_dup_lines", "n_repeat_words"]
+METRICS = ["n_words", "word_chars", "n_symbols", "n_punct", "n_short", "n_lines", "n_dup_lines", "n_repeat_words"]
 
 
 def repeated_words(words: list[str]) -> int:
@@ -45,11 +56,13 @@ def measure(text: str) -> tuple[int, ...]:
     """METRICS of one text."""
     words = _WORD.findall(text)
     lines = [x for x in text.split("\n") if x.strip(_SPACES)]
+    lengths = list(map(len, words))
     return (
         len(words),
-        sum(map(len, words)),
+        sum(lengths),
         sum(map(text.count, SYMBOLS)),
-        sum(map(text.count, MARKS)),
+        sum(map(len, _PUNCTUATION.findall(text))),
+        sum(map(SHORT_WORD.__ge__, lengths)),
         len(lines),
         len(lines) - len(set(lines)),
         repeated_words(words),
@@ -63,43 +76,44 @@ def measured(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     return map_texts(docs, text_col, keep, [T.StructField(m, T.LongType()) for m in METRICS], work)
 
 
-@F.pandas_udf(T.StructType([T.StructField(m, T.LongType()) for m in METRICS]))
-def metrics_of(texts):
-    import pandas as pd
+def metrics_of(text: Column) -> Column:
+    """METRICS as a struct. Not deterministic to Spark: a filter on it must not be moved below and measure the text again."""
+
+    @F.pandas_udf(T.StructType([T.StructField(m, T.LongType()) for m in METRICS]))
+    def each(texts):
+        import pandas as pd
+
+        return pd.DataFrame([measure(t or "") for t in texts], columns=METRICS)
+
+    return each.asNondeterministic()(text)
+
 
-    return pd.DataFrame([measure(t or "") for t in texts], columns=METRICS)
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
 
 
 def with_rates(df: DataFrame) -> DataFrame:
-    """Integer rates in thousandths (word_length: tenths of a character); zero where there is nothing to divide by."""
-    rate = lambda a, b, k: F.expr(f"CASE WHEN {b} > 0 THEN {k} * {a} DIV {b} ELSE 0 END")
-    return df.withColumns(
-        {
-            "symbol_rate": rate("n_symbols", "word_chars", 1000),
-            "mark_rate": rate("n_marks", "word_chars", 1000),
-            "dup_line_rate": rate("n_dup_lines", "n_lines", 1000),
-            "repeat_rate": rate("n_repeat_words", "n_words", 1000),
-            "word_length": rate("word_chars", "n_words", 10),
-        }
-    )
+    """Integer rates; zero where there is nothing to divide by."""
+    return df.withColumns({r: F.expr(f"CASE WHEN {b} > 0 THEN {k} * {a} DIV {b} ELSE 0 END") for r, (a, b, k) in RATES.items()})
 
 
 def bucket(x: Column) -> Column:
-    """The least value with x's five leading binary digits; x itself below 32."""
+    """The least value with x's DIGITS leading binary digits; x itself below 2**DIGITS."""
     digits = F.length(F.bin(x))
-    drop = F.greatest(digits - 5, F.lit(0)).cast("int")
+    drop = F.greatest(digits - DIGITS, F.lit(0)).cast("int")
     return F.call_function("shiftleft", F.call_function("shiftright", x, drop), drop)
 
 
 def sketches(rows: DataFrame, lang: str, source: str) -> DataFrame:
-    """(lang, source, rate, bucket, n) of rows that carry the rates."""
+    """(lang, source, rate, bucket, n) of rows with METRICS that pass the base rules; equal measurements in a group count once."""
+    each = rows.where(~base_failed()).select(F.col(lang).alias("lang"), F.col(source).alias("source"), *METRICS).distinct()
     pairs = F.array(*(F.struct(F.lit(r).alias("rate"), F.col(r).alias("x")) for r in RATES))
-    long = rows.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(pairs).alias("p"))
+    long = with_rates(each).select("lang", "source", F.explode(pairs).alias("p"))
     return long.groupBy("lang", "source", F.col("p.rate").alias("rate"), bucket(F.col("p.x")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def quartiles(sketch: DataFrame, *by: str) -> DataFrame:
-    """Per group: documents n and, for each rate, q1_ and q3_, merged from the sketches of its parts."""
+def quantiles(sketch: DataFrame, *by: str) -> DataFrame:
+    """Per group: documents n and, for each rate, q<level>_<rate>, merged from the sketches of its parts."""
     from pyspark.sql import Window
 
     merged = sketch.groupBy(*by, "rate", "bucket").agg(F.sum("n").alias("n"))
@@ -107,16 +121,20 @@ def quartiles(sketch: DataFrame, *by: str) -> DataFrame:
     upto = F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     ranked = merged.withColumn("upto", upto).withColumn("all", F.sum("n").over(group))
     cols = [F.max(F.when(F.col("rate") == r, F.col("all"))).alias("n") for r in list(RATES)[:1]]
-    for r in RATES:
-        for k in (1, 3):
-            here = (F.col("rate") == r) & (4 * F.col("upto") >= k * F.col("all"))
+    for r, levels in LEVELS.items():
+        for k in levels:
+            here = (F.col("rate") == r) & (100 * F.col("upto") >= k * F.col("all"))
             cols.append(F.min(F.when(here, F.col("bucket"))).alias(f"q{k}_{r}"))
-    return ranked.groupBy(*by).agg(*cols)
+    spreads = {f"d_{r}": F.expr(f"nullif(least(q50_{r} - q10_{r}, q90_{r} - q50_{r}), 0)") for r in TWO_SIDED}
+    return ranked.groupBy(*by).agg(*cols).withColumns(spreads)
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """(lang, source, level, max_<rate>...): per group of the sketch, the fences of the finest level with enough documents."""
-    fine, mid, top = quartiles(sketch, "lang", "source"), quartiles(sketch, "lang"), quartiles(sketch)
+    """(k_lang, k_source, level, FENCES...): per group of the sketch, the fences of the finest level with enough documents.
+
+    A group whose distance is zero takes its language's, then that of all documents; where that is zero too there is no fence.
+    """
+    fine, mid, top = quantiles(sketch, "lang", "source"), quantiles(sketch, "lang"), quantiles(sketch)
     name = lambda df, tag, keys: df.select(*keys, *(F.col(c).alias(f"{tag}_{c}") for c in df.columns if c not in keys))
     joined = name(fine, "f", ["lang", "source"]).alias("a")
     other = name(mid, "m", ["lang"]).withColumnRenamed("lang", "m_lang")
@@ -124,34 +142,35 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     own, wide = F.col("f_n") >= MIN_GROUP, F.col("m_n") >= MIN_GROUP
     pick = lambda c: F.when(own, F.col(f"f_{c}")).when(wide, F.col(f"m_{c}")).otherwise(F.col(f"t_{c}"))
     level = F.when(own, "source").when(wide, "lang").otherwise("all").alias("level")
-    fences = [
-        (pick(f"q3_{r}") + FENCE * F.greatest(pick(f"q3_{r}") - pick(f"q1_{r}"), F.lit(least))).cast("long").alias(f"max_{r}")
-        for r, least in RATES.items()
-    ]
+    away = lambda r: WIDTH * F.coalesce(pick(f"d_{r}"), F.col(f"m_d_{r}"), F.col(f"t_d_{r}"))
+    fences = [(pick(f"q50_{r}") - away(r)).cast("long").alias(f"min_{r}") for r in TWO_SIDED]
+    fences += [(pick(f"q50_{r}") + away(r)).cast("long").alias(f"max_{r}") for r in TWO_SIDED]
+    fences += [(2 * pick(f"q99_{r}") - pick(f"q50_{r}")).cast("long").alias(f"max_{r}") for r in ABOVE]
     return joined.select(F.col("a.lang").alias("k_lang"), F.col("a.source").alias("k_source"), level, *fences)
 
 
 def judged(rows: DataFrame, limits: DataFrame, lang: str, source: str) -> DataFrame:
     """rows with base_failed and kept, after a join with the thresholds of their group (nulls match nulls)."""
     same = F.col(lang).eqNullSafe(F.col("k_lang")) & F.col(source).eqNullSafe(F.col("k_source"))
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    over = F.lit(False)
+    out = F.lit(False)
     for r in RATES:
-        over = over | (F.col(r) > F.col(f"max_{r}"))
-    return rows.join(limits, same, "left").withColumn("base_failed", base).withColumn("kept", ~base & ~F.coalesce(over, F.lit(False)))
+        out = out | F.coalesce(F.col(r) > F.col(f"max_{r}"), F.lit(False))
+    for r in TWO_SIDED:
+        out = out | F.coalesce(F.col(r) < F.col(f"min_{r}"), F.lit(False))
+    return rows.join(limits, same, "left").withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & ~out)
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per row of docs: id, metrics, base_failed, kept, rates, the thresholds they met and the level these are from.
 
-    Null texts count as empty and fail the base rules. Null languages or sources form groups of their own.
-    Rows are judged one by one, so repeated ids are no matter. An empty table gives no rows.
+    Null texts count as empty and fail the base rules. Null languages or sources form groups of their own; in a group where all rows
+    fail the base rules, thresholds and level are null. Rows are judged one by one, so repeated ids are no matter. An empty table gives no rows.
     """
     named = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    rows = cut(with_rates(measured(named, "text", ["id", "lang", "source"])))
+    rows = cut(measured(named, "text", ["id", "lang", "source"]))
     limits = cut(thresholds(cut(sketches(rows, "lang", "source"))))
-    out = judged(rows, limits, "lang", "source")
-    return out.select(F.col("id").alias(id_col), *METRICS, "base_failed", "kept", *RATES, *(f"max_{r}" for r in RATES), "level")
+    out = judged(with_rates(rows), limits, "lang", "source")
+    return out.select(F.col("id").alias(id_col), *METRICS, "base_failed", "kept", *RATES, *FENCES, "level")
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -161,7 +180,7 @@ def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     moving texts to their metrics.
     """
     named = docs.select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    sketch = cut(sketches(with_rates(measured(named, "text", ["lang", "source"])), "lang", "source"))
+    sketch = cut(sketches(measured(named, "text", ["lang", "source"]), "lang", "source"))
     limits = cut(thresholds(sketch))
     own = [f"_ls_{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*own)

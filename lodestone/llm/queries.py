@@ -24,7 +24,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.quality import quality_report
 
-    return quality_report(documents(spark, sf_dir)).drop("n_lines", "n_marks")
+    return quality_report(documents(spark, sf_dir))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,38 +96,44 @@ def quality_sql() -> str:
     """op2 in SQL, with the module's constants."""
     from lodestone.llm import quality as q
 
-    rates = list(q.RATES)
-    pick = lambda c: f"CASE WHEN f.n >= {q.MIN_GROUP} THEN f.{c} WHEN m.n >= {q.MIN_GROUP} THEN m.{c} ELSE t.{c} END"
-    fences = ", ".join(f"(({pick('q3_' + r)}) + {q.FENCE} * greatest(({pick('q3_' + r)}) - ({pick('q1_' + r)}), {least}))::BIGINT AS max_{r}" for r, least in q.RATES.items())
+    own, wide = f"f.n >= {q.MIN_GROUP}", f"m.n >= {q.MIN_GROUP}"
+    pick = lambda c: f"CASE WHEN {own} THEN f.{c} WHEN {wide} THEN m.{c} ELSE t.{c} END"
+    away = lambda r: f"{q.WIDTH} * coalesce({pick('d_' + r)}, m.d_{r}, t.d_{r})"
+    fences = [f"(({pick('q50_' + r)}) {sign} {away(r)})::BIGINT AS {side}_{r}" for sign, side in (("-", "min"), ("+", "max")) for r in q.TWO_SIDED]
+    fences += [f"(2 * ({pick('q99_' + r)}) - ({pick('q50_' + r)}))::BIGINT AS max_{r}" for r in q.ABOVE]
 
-    def quartiles(by: str) -> str:
+    def quantiles(by: str) -> str:
         keys = f"{by}, " if by else ""
-        cut = ", ".join(f"min(bucket) FILTER (rate = '{r}' AND 4 * upto >= {k} * al) AS q{k}_{r}" for r in rates for k in (1, 3))
-        return f"""(SELECT {keys}max(al) AS n, {cut} FROM (
+        cut = ", ".join(f"min(bucket) FILTER (rate = '{r}' AND 100 * upto >= {k} * al) AS q{k}_{r}" for r, levels in q.LEVELS.items() for k in levels)
+        spread = ", ".join(f"nullif(least(q50_{r} - q10_{r}, q90_{r} - q50_{r}), 0) AS d_{r}" for r in q.TWO_SIDED)
+        return f"""(SELECT *, {spread} FROM (SELECT {keys}max(al) FILTER (rate = '{next(iter(q.RATES))}') AS n, {cut} FROM (
   SELECT *, sum(n) OVER (PARTITION BY {keys}rate ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}rate) AS al
-  FROM (SELECT {keys}rate, bucket, sum(n) AS n FROM s GROUP BY {keys}rate, bucket)) {"GROUP BY " + by if by else ""})"""
-
-    long = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rate, {r} AS x FROM r" for r in rates)
-    over = " OR ".join(f"{r} > max_{r}" for r in rates)
+  FROM (SELECT {keys}rate, bucket, sum(n) AS n FROM s GROUP BY {keys}rate, bucket)) {"GROUP BY " + by if by else ""}))"""
+
+    rate = lambda a, b, k: f"CASE WHEN {b} > 0 THEN {k} * {a} // {b} ELSE 0 END"
+    rates = ", ".join(f"{rate(*parts)} AS {r}" for r, parts in q.RATES.items())
+    long = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rate, {r} AS x FROM e" for r in q.RATES)
+    out = " OR ".join([*(f"coalesce({r} > max_{r}, false)" for r in q.RATES), *(f"coalesce({r} < min_{r}, false)" for r in q.TWO_SIDED)])
+    base = f"(n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEATED} * n_words)"
+    metrics = ", ".join(q.METRICS)
+    count = lambda pattern: f"length(regexp_replace(t, '{pattern}', '', 'g'))::BIGINT"
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
 v AS (SELECT doc_id, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
 c AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, v) AS n FROM v) WHERE n > 1),
 p AS (SELECT doc_id, count(DISTINCT i)::BIGINT AS n FROM c GROUP BY doc_id),
-b AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
-  length(regexp_replace(t, '[^{q.SYMBOLS}]', '', 'g'))::BIGINT AS n_symbols, length(regexp_replace(t, '[^{q.MARKS}]', '', 'g'))::BIGINT AS n_marks,
+b AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, {count(r"[\x20\x09-\x0D]+")} AS word_chars, {count(f"[^{q.SYMBOLS}]")} AS n_symbols,
+  {count(q.PUNCTUATION.replace("[", "[^", 1))} AS n_punct, len(list_filter(w, lambda x: length(x) <= {q.SHORT_WORD}))::BIGINT AS n_short,
   len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN p USING (doc_id)),
-r AS (SELECT *, CASE WHEN word_chars > 0 THEN 1000 * n_symbols // word_chars ELSE 0 END AS symbol_rate, CASE WHEN word_chars > 0 THEN 1000 * n_marks // word_chars ELSE 0 END AS mark_rate,
-  CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup_line_rate, CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeat_rate,
-  CASE WHEN n_words > 0 THEN 10 * word_chars // n_words ELSE 0 END AS word_length FROM b),
+r AS (SELECT *, {rates} FROM b),
+e AS (SELECT DISTINCT lang, source, {metrics}, {", ".join(q.RATES)} FROM r WHERE NOT {base}),
 x AS ({long}),
-s AS (SELECT lang, source, rate, (x >> k) << k AS bucket, count(*) AS n FROM (SELECT *, greatest(length(bin(x)) - 5, 0) AS k FROM x) GROUP BY ALL),
-h AS (SELECT f.lang AS k_lang, f.source AS k_source, CASE WHEN f.n >= {q.MIN_GROUP} THEN 'source' WHEN m.n >= {q.MIN_GROUP} THEN 'lang' ELSE 'all' END AS level, {fences}
-  FROM {quartiles("lang, source")} f LEFT JOIN {quartiles("lang")} m ON f.lang IS NOT DISTINCT FROM m.lang, {quartiles("")} t)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEATED} * n_words AS base_failed,
-  NOT (n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEATED} * n_words) AND NOT ({over}) AS kept, {", ".join(rates)}, {", ".join("max_" + r for r in rates)}, level
-FROM r JOIN h ON lang IS NOT DISTINCT FROM k_lang AND source IS NOT DISTINCT FROM k_source
+s AS (SELECT lang, source, rate, (x >> k) << k AS bucket, count(*) AS n FROM (SELECT *, greatest(length(bin(x)) - {q.DIGITS}, 0) AS k FROM x) GROUP BY ALL),
+h AS (SELECT f.lang AS k_lang, f.source AS k_source, CASE WHEN {own} THEN 'source' WHEN {wide} THEN 'lang' ELSE 'all' END AS level, {", ".join(fences)}
+  FROM {quantiles("lang, source")} f LEFT JOIN {quantiles("lang")} m ON f.lang IS NOT DISTINCT FROM m.lang, {quantiles("")} t)
+SELECT doc_id, {metrics}, {base} AS base_failed, NOT {base} AND NOT ({out}) AS kept, {", ".join(q.RATES)}, {", ".join(q.FENCES)}, level
+FROM r LEFT JOIN h ON lang IS NOT DISTINCT FROM k_lang AND source IS NOT DISTINCT FROM k_source
 """
 
 
