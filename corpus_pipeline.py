@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm.common import documents, shared_folder
+from lodestone.llm.common import delete, documents, scratch, shared_folder
 from lodestone.llm.exact_dedup import drop_exact
 from lodestone.llm.packing import packed
 from lodestone.llm.quality import quality_filter
@@ -46,11 +46,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the last stage; each stage's rows are written as Parquet in the shared folder and read again."""
-    docs = documents(spark, sf_dir)
+    """Rows of the last stage; each stage's rows are written as Parquet in the shared folder and read again.
+
+    Once a stage is written, its working tables and the rows that it read are deleted.
+    """
+    docs, before = documents(spark, sf_dir), None
     folder = f"{shared_folder(spark)}/lodestone/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        made = stage(spark, docs, sf_dir)
-        made.write.parquet(f"{folder}/{name}")
+        with scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(f"{folder}/{name}")
         docs = spark.read.schema(made.schema).parquet(f"{folder}/{name}")
+        if before:
+            delete(spark, before)
+        before = f"{folder}/{name}"
     return docs
