@@ -20,7 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 ROW = "_ls_row"
 TEXTS_PER_CHUNK = 512
 #: Bytes of text in a slice of an Arrow batch, unless one text is longer.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 #: Rows of narrow keys, at most, that are broadcast; larger tables are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 

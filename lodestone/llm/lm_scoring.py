@@ -2,7 +2,9 @@
 
 Tokens are words between white space, all of the corpus's: the network predicts the most frequent ones and, for the others,
 classes by their last letters; within a class the full counts give each word's probability. The numbers of frequent words and classes
-follow the vocabulary. Texts are dealt by hash to shards of many tokens. In each round the shards of one split train the network from
+follow the vocabulary. The softmax has two levels (a group of classes, then a class), so a token costs about the square root of the classes.
+
+Texts are dealt by hash to shards of many tokens, shards to splits. In each round the shards of one split train the network from
 the same start, and the averages of the weights, by tokens, start the next round (federated averaging). All splits
 are used, then rounds go on until the loss of held-out texts settles. Weights are added up on the executors; the driver receives one
 model a round, whatever the number of partitions.
@@ -12,150 +14,233 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import ROW, cut, map_texts
+from lodestone.llm.common import ROW, WORD, cut, text_slices
 
-TOP_WORDS, RARE_CLASSES, HIDDEN = 159, 32, 16
-PAD = TOP_WORDS + RARE_CLASSES
-VOCABULARY = PAD + 1
+HIDDEN = 16
 OFFSETS = (-2, -1, 1, 2)
-BATCH, RATE = 2048, 0.5
-#: Distinct words that a task holds before it passes its counts on.
-HELD = 200_000
-#: Words whose counts travel with the tasks; the counts of all others are joined.
+BATCH, RATE = 2048, 1.0
+#: Classes that are words of their own and classes of the others, per bit of the vocabulary's size; the least numbers.
+TOP_PER_BIT, RARE_PER_BIT, LEAST_TOP, LEAST_RARE = 16, 4, 159, 32
+#: Words, at most, whose counts travel with the tasks; the counts of all others are joined.
 HEAD = 200_000
 #: Tokens of a shard at least, and tokens between two looks at a shard's rows.
 SHARD, CHUNK = 500_000, 64 * BATCH
-#: One text in so many is held out; splits of the shards, one a round; a round's share of the loss below which it has settled.
-HELD_OUT, SPLITS, SETTLED, MOST_ROUNDS = 50, 4, 0.002, 40
-#: Classes as stored, and units of a nat in sums of logarithms.
-CODE, SCALE = np.uint16, 1_000_000
+#: One text in so many is held out; splits of the shards, one a round; a round's share of the loss below which it has settled; rounds at most.
+HELD_OUT, SPLITS, SETTLED, MOST_ROUNDS = 50, 16, 0.002, 64
+#: Classes as stored, and units of a nat: integers add up to the same sum in any order.
+CODE, SCALE = np.uint16, 10_000
+
+Params = dict[str, np.ndarray]
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(different words, each token's place among them, tokens of each text): the tokens are the matches of WORD."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    coded = lists.flatten().dictionary_encode()
+    at, sizes = coded.indices.to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    # White space at either end leaves an empty word there.
+    none = pc.index(coded.dictionary, "").as_py()
+    if none >= 0:
+        some = at != none
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[some], minlength=len(sizes))
+        at = at[some]
+    return coded.dictionary, at, sizes
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(word, n) over all texts, added up within tasks before the shuffle."""
+    """(word, n) over all texts, added up within slices and tasks before the shuffle."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-
-        seen: Counter[str] = Counter()
         for part in parts:
-            for text in part.column(0):
-                seen.update((text.as_py() or "").split())
-                if len(seen) >= HELD:
-                    yield rows()
-                    seen.clear()
-        yield rows()
+            for piece in text_slices(part, 0):
+                words, at, _ = words_of(piece.column(0))
+                n = np.bincount(at, minlength=len(words))
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(some)), pa.array(n[some])], ["word", "n"])
 
     return docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _level():
+    return F.floor(F.log2("n") * 16).cast("int")
+
+
+def level_sizes(counted: DataFrame) -> list[tuple[int, int]]:
+    """(level, words) by falling level: sixteenths of a doubling of the count, so no task or driver sorts the vocabulary."""
+    return sorted(((r.k, r.words) for r in counted.groupBy(_level().alias("k")).agg(F.count("*").alias("words")).collect()), reverse=True)
+
+
+def least_level(sizes: list[tuple[int, int]], most: int) -> int | None:
+    """The least level such that the words from it on are at most `most`; None if the highest has more. Words of a level stay together."""
+    total, least = 0, None
+    for k, words in sizes:
+        total += words
+        if total > most:
+            break
+        least = k
+    return least
+
+
+def words_from(counted: DataFrame, least: int | None) -> list[tuple[str, int]]:
+    """(word, n) from a level on, by falling n, then by word."""
+    if least is None:
+        return []
+    return sorted(((r.word, r.n) for r in counted.where(_level() >= least).collect()), key=lambda x: (-x[1], x[0]))
+
+
+def classes_for(words: int) -> tuple[int, int]:
+    """(words that are classes of their own, classes of the others): both follow the logarithm of the vocabulary."""
+    bits = math.log2(words + 1)
+    return max(LEAST_TOP, int(TOP_PER_BIT * bits)), max(LEAST_RARE, int(RARE_PER_BIT * bits))
+
+
 class Tokens:
     """Words to classes: the top words' ranks, then a class by the last three letters."""
 
-    def __init__(self, top: list[str], rare: int = RARE_CLASSES):
+    def __init__(self, top: list[str], rare: int):
         self.known = {w: i for i, w in enumerate(top)}
         self.first, self.rare = len(top), rare
-        self.endings: dict[str, int] = {}
 
     def of(self, word: str) -> int:
         c = self.known.get(word)
-        if c is not None:
-            return c
-        end = word[-3:]
-        c = self.endings.get(end)
-        if c is None:
-            if len(self.endings) > 100_000:
-                self.endings.clear()
-            c = self.endings[end] = self.first + zlib.crc32(end.encode("utf-8", "surrogatepass")) % self.rare
-        return c
-
-
-def classes_for(words: int) -> tuple[int, int]:
-    """(words that are classes of their own, classes of the others): both follow the logarithm of the vocabulary."""
-    bits = math.log2(words + 1)
-    return max(TOP_WORDS, int(8 * bits)), max(RARE_CLASSES, int(2 * bits))
-
-
-def parameters(seed: int = 17, classes: int = PAD) -> dict[str, np.ndarray]:
-    """The common start: small random embeddings per offset, no bias."""
-    rnd = np.random.default_rng(seed)
-    shape = (len(OFFSETS), classes + 1, HIDDEN)
-    return {
-        "embed": rnd.normal(0, 0.1, shape).astype(np.float32),
-        "hidden": np.zeros(HIDDEN, np.float32),
-        "out": rnd.normal(0, 0.1, (HIDDEN, classes + 1)).astype(np.float32),
-        "bias": np.zeros(classes + 1, np.float32),
+        return self.first + zlib.crc32(word[-3:].encode("utf-8", "surrogatepass")) % self.rare if c is None else c
+
+
+def parameters(counts: np.ndarray, seed: int = 17) -> Params:
+    """The common start: small random weights, biases from the classes' counts."""
+    rnd, classes = np.random.default_rng(seed), len(counts)
+    size = math.ceil(math.sqrt(classes))
+    groups = -(-classes // size)
+    share = np.zeros(groups * size)
+    share[:classes] = (counts + 1) / (counts.sum() + classes)
+    share = share.reshape(groups, size)
+    leaf = np.full(groups * size, -1e4)
+    leaf[:classes] = np.log((share / share.sum(axis=1, keepdims=True)).ravel()[:classes])
+    start = {
+        "embed": rnd.normal(0, 0.1, (len(OFFSETS), classes + 1, HIDDEN)),
+        "hidden": np.zeros(HIDDEN),
+        "leaf": rnd.normal(0, 0.1, (groups, HIDDEN, size)),
+        "leaf_bias": leaf.reshape(groups, size),
+        "top": rnd.normal(0, 0.1, (HIDDEN, groups)),
+        "top_bias": np.log(share.sum(axis=1)),
     }
+    return {k: v.astype(np.float32) for k, v in start.items()}
 
 
-def flat(p: dict[str, np.ndarray]) -> np.ndarray:
+def flat(p: Params) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in sorted(p)])
 
 
-def unflat(values: np.ndarray, start: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def unflat(values: np.ndarray, start: Params) -> Params:
     out, at = {}, 0
     for k, like in sorted(start.items()):
-        out[k] = values[at : at + like.size].reshape(like.shape).astype(np.float32)
+        out[k] = values[at : at + like.size].reshape(like.shape).astype(like.dtype)
         at += like.size
     return out
 
 
-def padded(texts: list[np.ndarray], pad: int = PAD) -> tuple[np.ndarray, np.ndarray]:
-    """All tokens with two pads around each text, and the places of the tokens."""
-    gap = np.full(2, pad, np.int64)
-    row = np.concatenate([gap, *(x for t in texts for x in (t, gap))])
-    return row, np.flatnonzero(row != pad)
+def padded(codes: np.ndarray, sizes: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens of texts with two pads around each text, and the places of the tokens."""
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    places = np.arange(len(codes)) + 2 * (text + 1)
+    row = np.full(len(codes) + 2 * (len(sizes) + 1), pad, np.int64)
+    row[places] = codes
+    return row, places
 
 
-def forward(p: dict[str, np.ndarray], row: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Neighbours at each offset, hidden layer, the tokens' log-probabilities, and all probabilities as terms and their sums."""
-    near = [row[at + o] for o in OFFSETS]
-    hidden = np.tanh(sum(p["embed"][k][x] for k, x in enumerate(near)) + p["hidden"])
-    logits = hidden @ p["out"] + p["bias"]
+def _log_softmax(logits: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The own entries' log-probabilities, and all probabilities (in place of logits)."""
     logits -= logits.max(axis=1, keepdims=True)
-    own = logits[np.arange(len(at)), row[at]]
-    terms = np.exp(logits, out=logits)
-    sums = terms.sum(axis=1, keepdims=True)
-    return near, hidden, own - np.log(sums[:, 0]), terms, sums
-
-
-def train(p: dict[str, np.ndarray], row: np.ndarray, places: np.ndarray, rate: float = RATE) -> None:
+    mine = logits[np.arange(len(own)), own]
+    np.exp(logits, out=logits)
+    sums = logits.sum(axis=1, keepdims=True)
+    logits /= sums
+    return mine - np.log(sums[:, 0]), logits
+
+
+class Step(NamedTuple):
+    """A batch, ordered by the groups of its tokens' classes: order of its places, neighbours, layers and probabilities."""
+
+    order: np.ndarray
+    near: list[np.ndarray]
+    hidden: np.ndarray
+    group: np.ndarray
+    slot: np.ndarray
+    ends: list[int]
+    log_prob: np.ndarray
+    top: np.ndarray
+    leaf: np.ndarray
+
+
+def forward(p: Params, row: np.ndarray, at: np.ndarray) -> Step:
+    size = p["leaf"].shape[2]
+    group = row[at] // size
+    order = np.argsort(group.astype(np.uint16), kind="stable")
+    at, group = at[order], group[order]
+    slot = row[at] - group * size
+    ends = np.searchsorted(group, np.arange(len(p["leaf"]) + 1)).tolist()
+    near = [row[at + o] for o in OFFSETS]
+    hidden = p["hidden"] + sum(p["embed"][k][x] for k, x in enumerate(near))
+    np.tanh(hidden, out=hidden)
+    top, leaf = hidden @ p["top"] + p["top_bias"], p["leaf_bias"][group]
+    for g, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+        if a < b:
+            leaf[a:b] += hidden[a:b] @ p["leaf"][g]
+    first, top = _log_softmax(top, group)
+    second, leaf = _log_softmax(leaf, slot)
+    return Step(order, near, hidden, group, slot, ends, first + second, top, leaf)
+
+
+def train(p: Params, row: np.ndarray, places: np.ndarray, rate: float = RATE) -> None:
     """One pass of gradient descent over all places, in place."""
-    size = p["embed"][0].size
-    across = np.arange(HIDDEN)
     for i in range(0, len(places), BATCH):
-        at = places[i : i + BATCH]
-        near, hidden, _, terms, sums = forward(p, row, at)
-        step = np.float32(rate * min(1.0, len(at) / BATCH) / len(at))
-        error = np.divide(terms, sums, out=terms)
-        error[np.arange(len(at)), row[at]] -= 1
-        back = (error @ p["out"].T) * (1 - hidden * hidden)
-        p["out"] -= step * (hidden.T @ error)
-        p["bias"] -= step * error.sum(axis=0)
+        s = forward(p, row, places[i : i + BATCH])
+        each = np.arange(len(s.order))
+        step = p["hidden"].dtype.type(rate * min(1.0, len(each) / BATCH) / len(each))
+        s.top[each, s.group] -= 1
+        s.leaf[each, s.slot] -= 1
+        back = s.top @ p["top"].T
+        for g, (a, b) in enumerate(zip(s.ends, s.ends[1:], strict=False)):
+            if a < b:
+                back[a:b] += s.leaf[a:b] @ p["leaf"][g].T
+                p["leaf"][g] -= step * (s.hidden[a:b].T @ s.leaf[a:b])
+                p["leaf_bias"][g] -= step * s.leaf[a:b].sum(axis=0)
+        p["top"] -= step * (s.hidden.T @ s.top)
+        p["top_bias"] -= step * s.top.sum(axis=0)
+        back *= 1 - s.hidden * s.hidden
         p["hidden"] -= step * back.sum(axis=0)
-        flat_back = back.ravel()
-        for k, x in enumerate(near):
-            added = np.bincount((x[:, None] * HIDDEN + across).ravel(), flat_back, size)
-            p["embed"][k] -= (4 * step * added).reshape(p["embed"][k].shape).astype(p["embed"].dtype)
+        back *= 4 * step
+        for k, x in enumerate(s.near):
+            o = np.argsort(x.astype(np.uint16), kind="stable")
+            x = x[o]
+            first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+            p["embed"][k][x[first]] -= np.add.reduceat(back[o], first, axis=0)
 
 
-def token_scores(p: dict[str, np.ndarray], row: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Log-probability of each token given its neighbours on both sides."""
-    parts = [forward(p, row, places[i : i + BATCH])[2].astype(np.float64) for i in range(0, len(places), BATCH)]
-    return np.concatenate(parts) if parts else np.zeros(0)
+def token_scores(p: Params, row: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Log-probability of each token's class given its neighbours on both sides."""
+    out = np.zeros(len(places))
+    for i in range(0, len(places), BATCH):
+        s = forward(p, row, places[i : i + BATCH])
+        out[i : i + BATCH][s.order] = s.log_prob
+    return out
 
 
-def chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+def _joined(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(codes), CODE).astype(np.int64), np.array([len(c) for c in codes], np.int64) // CODE().itemsize
+
+
+def chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
     """(shard, texts) of rows (shard, codes) sorted by shard: where they end depends on the texts, not on batches or files."""
     now, texts, size = None, [], 0
     for part in parts:
@@ -165,15 +250,14 @@ def chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarr
                     yield now, texts
                     texts, size = [], 0
                 now = shard
-                texts.append(np.frombuffer(codes, CODE).astype(np.int64))
-                size += len(texts[-1])
+                texts.append(codes)
+                size += len(codes) // CODE().itemsize
     if texts:
         yield now, texts
 
 
-def one_round(coded: DataFrame, start: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def one_round(coded: DataFrame, start: Params, pad: int) -> Params:
     """The average, by tokens, of what a pass over each shard makes of start."""
-    pad = len(start["bias"]) - 1
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen, own, n, now = 0.0, 0, None, 0, None
@@ -182,7 +266,7 @@ def one_round(coded: DataFrame, start: dict[str, np.ndarray]) -> dict[str, np.nd
                 if n:
                     total, seen = total + flat(own).astype(np.float64) * n, seen + n
                 own, n, now = {k: v.copy() for k, v in start.items()}, 0, shard
-            row, places = padded(texts, pad)
+            row, places = padded(*_joined(texts), pad)
             train(own, row, places)
             n += len(places)
         if n:
@@ -191,74 +275,103 @@ def one_round(coded: DataFrame, start: dict[str, np.ndarray]) -> dict[str, np.nd
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total), pa.array(np.full(len(total), seen))], ["k", "w", "n"])
 
     summed = coded.select("shard", "codes").mapInArrow(work, "k long, w double, n long").groupBy("k").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
-    model = sorted((r.k, r.w / r.n) for r in cut(summed).collect())
+    model = sorted((r.k, r.w / r.n) for r in summed.collect())
     return unflat(np.array([v for _, v in model]), start) if model else start
 
 
-def mean_loss(coded: DataFrame, model: dict[str, np.ndarray]) -> float | None:
+def mean_loss(coded: DataFrame, model: Params, pad: int) -> float | None:
     """Mean negative log-probability of the classes of all texts; None without tokens."""
-    pad = len(model["bias"]) - 1
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in chunks(parts):
-            scores = token_scores(model, *padded(texts, pad))
+            scores = token_scores(model, *padded(*_joined(texts), pad))
             yield pa.RecordBatch.from_arrays([pa.array([-float(scores.sum())]), pa.array([len(scores)])], ["loss", "n"])
 
     loss, n = coded.select("shard", "codes").mapInArrow(work, "loss double, n long").agg(F.sum("loss"), F.sum("n")).first()
     return loss / n if n else None
 
 
-def trained(coded: DataFrame, start: dict[str, np.ndarray], shards: int) -> dict[str, np.ndarray]:
-    """Rounds over the splits of the shards in turn: all at least once, then until the held-out loss settles.
+def trained(coded: DataFrame, start: Params, splits: int, pad: int) -> tuple[Params, list[float]]:
+    """The model, and the held-out loss before and after each round: over all splits at least, then until the loss settles.
 
     Texts are held out by hash; a corpus too small to have any is judged by its own loss.
     """
-    splits = min(SPLITS, shards)
     held, own = coded.where("held"), coded.where("NOT held")
-    before = mean_loss(held, start)
-    if before is None:
-        held, before = own, mean_loss(own, start)
-    if before is None:
-        return start
-    model = start
+    loss = mean_loss(held, start, pad)
+    if loss is None:
+        held, loss = own, mean_loss(own, start, pad)
+    if loss is None:
+        return start, []
+    model, losses = start, [loss]
     for t in range(MOST_ROUNDS):
-        model = one_round(own.where(F.col("shard") % splits == t % splits), model)
-        loss = mean_loss(held, model)
-        if t + 1 >= splits and before - loss < SETTLED * before:
+        model = one_round(own.where(F.col("split") == t % splits), model, pad)
+        losses.append(mean_loss(held, model, pad))
+        if t + 1 >= splits and losses[-2] - losses[-1] < SETTLED * losses[-2]:
             break
-        before = loss
-    return model
+    return model, losses
 
 
 def coded_texts(named: DataFrame, top: list[str], rare: int, totals: np.ndarray, head: dict[str, int]) -> DataFrame:
-    """id, row, the classes of the words, the sum of log p(word | class) over words of head, and the other words.
+    """id, row, h, the classes of the words, the sum of log p(word | class) in units, and the words outside head.
 
-    The others' terms are without log n(word), which comes from a join with the counts: the sum is whole after it.
+    Those words' terms are without log n(word), which comes from a join with the counts: the sum is whole after it.
     """
     log_totals = np.log(np.maximum(totals, 1))
+    schema = T.StructType([*(named.schema[c] for c in ("id", ROW, "h")), T.StructField("codes", T.BinaryType()), T.StructField("inside", T.LongType()), T.StructField("others", T.ArrayType(T.StringType()))])
 
-    def work(texts: list[str]):
-        memory = _memory((tuple(top[:50]), len(top), rare, len(head), float(totals.sum())))
+    def code(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(top, rare)
-        codes, sums, others = [], [], []
-        for text in texts:
-            words = text.split()
-            pairs = []
-            for w in words:
-                pair = memory.get(w)
-                if pair is None:
-                    if len(memory) >= 2 * HEAD:
-                        memory.clear()
-                    n, c = head.get(w), tokens.of(w)
-                    pair = memory[w] = (c, (math.log(n) if n else 0.0) - log_totals[c], n is None)
-                pairs.append(pair)
-            codes.append(np.array([p[0] for p in pairs], CODE).tobytes())
-            sums.append(float(sum(p[1] for p in pairs)))
-            others.append([w for w, p in zip(words, pairs, strict=True) if p[2]])
-        return codes, sums, others
-
-    fields = [T.StructField("codes", T.BinaryType()), T.StructField("inside", T.DoubleType()), T.StructField("others", T.ArrayType(T.StringType()))]
-    return map_texts(named, "text", ["id", ROW, "h"], fields, work)
+        for part in parts:
+            for piece in text_slices(part, 3):
+                words, at, sizes = words_of(piece.column(3))
+                plain = words.to_pylist()
+                classes = np.array([tokens.of(w) for w in plain], np.int64)
+                counts = np.array([head.get(w, 0) for w in plain], np.int64)
+                inside = np.round((np.log(np.maximum(counts, 1)) - log_totals[classes]) * SCALE).astype(np.int64)
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                sums = np.concatenate([[0], np.cumsum(inside[at])])[ends]
+                codes = classes[at].astype(CODE)
+                packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((ends * codes.itemsize).astype(np.int32)), pa.py_buffer(codes)])
+                far = np.flatnonzero(counts[at] == 0)
+                others = pa.ListArray.from_arrays(pa.array(np.searchsorted(far, ends), pa.int32()), words.take(pa.array(at[far])))
+                yield pa.RecordBatch.from_arrays([*(piece.column(k) for k in range(3)), packed, pa.array(sums[1:] - sums[:-1]), others], schema.names)
+
+    return named.select("id", ROW, "h", "text").mapInArrow(code, schema)
+
+
+class Fitted(NamedTuple):
+    """A corpus as classes, its word counts, the model, the losses of its training and the classes' counts."""
+
+    coded: DataFrame
+    counted: DataFrame
+    model: Params
+    losses: list[float]
+    totals: np.ndarray
+    top: list[str]
+
+
+def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Fitted:
+    """Counts, classes and the network of all texts."""
+    counted = cut(word_counts(docs, text_col))
+    sizes = level_sizes(counted)
+    n_top, rare = classes_for(sum(n for _, n in sizes))
+    top = words_from(counted, least_level(sizes, n_top))
+    head = words_from(counted, least_level(sizes, max(HEAD, n_top)))
+    words = [w for w, _ in top]
+    ending = F.crc32(F.encode(F.right("word", F.lit(3)), "utf-8")) % rare
+    others = {r.c: r.n for r in counted.where(~F.col("word").isin(words)).groupBy(ending.alias("c")).agg(F.sum("n").alias("n")).collect()}
+    totals = np.array([n for _, n in top] + [others.get(c, 0) for c in range(rare)], float)
+    named = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias(ROW), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"))
+    # Shards go by hash, so training doesn't see how the table is cut into files; they lengthen with the corpus.
+    shards = max(1, math.ceil(totals.sum() / max(SHARD, 100 * math.sqrt(totals.sum()))))
+    splits = min(SPLITS, shards)
+    files = min(shards, max(math.ceil(shards / 8), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    shard = F.pmod("h", F.lit(shards))
+    placed = coded_texts(named, words, rare, totals, dict(head)).withColumns({"shard": shard, "held": F.pmod(F.xxhash64("h"), F.lit(HELD_OUT)) == 0, "split": (shard % splits).cast("int")})
+    order = ["held", "split", "shard", "h"]
+    coded = cut(placed.repartition(files, "shard").sortWithinPartitions(*order), by=["held", "split"])
+    model, losses = trained(coded, parameters(totals), splits, len(totals))
+    return Fitted(coded, counted, model, losses, totals, words)
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,56 +379,27 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Every word of the corpus is in the vocabulary: log p(word) = log p(class | neighbours) + log p(word | class), the second
     term from the counts of all texts. HEAD words' counts travel to the workers, the others' are joined; HEAD changes no result.
-    A null, empty or blank text has no tokens, log_prob 0 and null means. Repeated rows score alike. Ties among the
-    words of equal counts are broken by the word. An empty table gives no rows. Counts and training cover all texts.
+    A null, empty or blank text has no tokens, log_prob 0 and null means. Repeated rows score alike. Words of equal counts
+    are classes of their own together or not at all. An empty table gives no rows. Counts and training cover all texts.
     """
-    counted = cut(word_counts(docs, text_col))
-    # Written first: a collected top list would send every partition's candidates to the driver.
-    frequent = sorted(((r.word, r.n) for r in cut(counted.orderBy(F.desc("n"), "word").limit(HEAD)).collect()), key=lambda x: (-x[1], x[0]))
-    vocabulary = counted.count()
-    n_top, rare = classes_for(vocabulary)
-    words = [w for w, _ in frequent[:n_top]]
-    ending = F.crc32(F.encode(F.right("word", F.lit(3)), "utf-8")) % rare
-    others = {r.c: r.n for r in counted.where(~F.col("word").isin(words)).groupBy(ending.alias("c")).agg(F.sum("n").alias("n")).collect()}
-    counts = np.array([n for _, n in frequent[:n_top]] + [others.get(c, 0) for c in range(rare)] + [0], float)
-    start = parameters(classes=len(counts) - 1)
-    start["bias"] = np.log((counts + 1) / (counts.sum() + len(counts))).astype(np.float32)
-    named = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias(ROW), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"))
-    # Shards go by hash, so training doesn't see how the table is cut into files; they lengthen with the corpus.
-    shards = max(1, math.ceil(counts.sum() / max(SHARD, 100 * math.sqrt(counts.sum()))))
-    files = min(shards, max(math.ceil(shards / 8), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    placed = coded_texts(named, words, rare, counts, dict(frequent)).withColumns({"shard": F.pmod("h", F.lit(shards)), "held": F.pmod(F.xxhash64("h"), F.lit(HELD_OUT)) == 0})
-    coded = cut(placed.repartition(files, "shard").sortWithinPartitions("shard", "h"))
-    model = trained(coded, start, shards)
-    pad = len(counts) - 1
+    coded, counted, model, _, totals, _ = fitted(docs, id_col, text_col)
+    pad = len(totals)
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for i in range(0, part.num_rows, 512):
                 piece = part.slice(i, 512)
-                own = [np.frombuffer(t, CODE).astype(np.int64) for t in piece.column(2).to_pylist()]
-                scores = token_scores(model, *padded(own, pad))
-                ends = np.cumsum([len(x) for x in own])
-                sums = [float(scores[e - len(x) : e].sum()) for e, x in zip(ends, own, strict=True)]
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), piece.column(3), pa.array([len(x) for x in own], pa.int64()), pa.array(sums, pa.float64())], ["id", ROW, "inside", "n_tokens", "outer"])
+                codes, sizes = _joined(piece.column(2).to_pylist())
+                units = np.round(token_scores(model, *padded(codes, sizes, pad)) * SCALE).astype(np.int64)
+                sums = np.concatenate([[0], np.cumsum(units)])[np.concatenate([[0], np.cumsum(sizes)])]
+                yield pa.RecordBatch.from_arrays([*(piece.column(k) for k in (0, 1, 3)), pa.array(sizes), pa.array(sums[1:] - sums[:-1])], ["id", ROW, "inside", "n_tokens", "outer"])
 
-    schema = T.StructType([coded.schema["id"], T.StructField(ROW, T.LongType()), *(T.StructField(c, k()) for c, k in (("inside", T.DoubleType), ("n_tokens", T.LongType), ("outer", T.DoubleType)))])
+    schema = T.StructType([coded.schema["id"], *(T.StructField(c, T.LongType()) for c in (ROW, "inside", "n_tokens", "outer"))])
     scored = coded.select("id", ROW, "codes", "inside").mapInArrow(score, schema)
-    # Integers add up to the same sum in any order, so repeated rows stay alike.
     logs = F.round(F.log("n") * SCALE).cast("long")
-    tail = coded.select(ROW, F.explode("others").alias("word")).join(counted.select("word", logs.alias("log_n")), "word").groupBy(ROW).agg(F.sum("log_n").alias("tail"))
-    total = F.col("outer") + F.col("inside") + F.coalesce(F.col("tail"), F.lit(0)) / SCALE
+    far = coded.where(F.size("others") > 0).select(ROW, F.explode("others").alias("word"))
+    tail = far.join(counted.select("word", logs.alias("log_n")), "word").groupBy(ROW).agg(F.sum("log_n").alias("tail"))
+    total = (F.col("outer") + F.col("inside") + F.coalesce(F.col("tail"), F.lit(0))) / SCALE
     out = scored.join(tail, ROW, "left").withColumn("log_prob", F.when(F.col("n_tokens") > 0, total).otherwise(0.0))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
     return out.select(F.col("id").alias(id_col), "n_tokens", "log_prob", mean.alias("mean_log_prob"), F.exp(-mean).alias("pseudo_perplexity"))
-
-
-_MEMORY: dict[tuple, dict[str, tuple]] = {}
-
-
-def _memory(key: tuple) -> dict[str, tuple]:
-    """What a worker remembers of the words of one corpus."""
-    if key not in _MEMORY:
-        _MEMORY.clear()
-        _MEMORY[key] = {}
-    return _MEMORY[key]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -24,20 +25,83 @@ def docs(spark, sf_dir):
     return table(spark, [(r.doc_id, r.text) for r in own] + EDGE)
 
 
+CLASSES = 90
+
+
+def network(rnd):
+    p = lm_scoring.parameters(rnd.integers(1, 50, CLASSES).astype(float))
+    return {k: v.astype(np.float64) for k, v in p.items()}
+
+
 def test_gradients_match_differences():
     rnd = np.random.default_rng(0)
-    p = {k: v.astype(np.float64) for k, v in lm_scoring.parameters().items()}
-    row, places = lm_scoring.padded([rnd.integers(0, lm_scoring.PAD, 30)])
+    p = network(rnd)
+    row, places = lm_scoring.padded(rnd.integers(0, CLASSES, 30), np.array([10, 0, 20]), CLASSES)
     loss = lambda q: -lm_scoring.token_scores(q, row, places).mean()
     after = {k: v.copy() for k, v in p.items()}
     lm_scoring.train(after, row, places, rate=1.0)
     scale = min(1.0, len(places) / lm_scoring.BATCH)
-    for name, at in (("bias", (3,)), ("hidden", (2,)), ("out", (1, int(row[places[0]]))), ("embed", (1, int(row[places[4]]), 3))):
+    group, slot = divmod(int(row[places[0]]), p["leaf"].shape[2])
+    for name, at in (("top_bias", (group,)), ("leaf_bias", (group, slot)), ("leaf", (group, 3, slot)), ("hidden", (2,)), ("top", (1, group)), ("embed", (1, int(row[places[4]]), 3))):
         up = {k: v.copy() for k, v in p.items()}
         up[name][at] += 1e-5
         slope = (loss(up) - loss(p)) / 1e-5
         step = (p[name][at] - after[name][at]) / scale / (4 if name == "embed" else 1)
-        assert abs(step - slope) < 1e-3 * max(1, abs(slope))
+        assert abs(step - slope) < 1e-3 * max(1, abs(slope)), name
+
+
+def plain_log_probs(p, codes, pad):
+    """Log-probability of each class of one text, token by token and without the order by groups."""
+    size, out = p["leaf"].shape[2], []
+    row = [pad, pad, *codes, pad, pad]
+    for i, c in enumerate(codes):
+        h = np.tanh(p["hidden"] + sum(p["embed"][k][row[i + 2 + o]] for k, o in enumerate(lm_scoring.OFFSETS)).astype(float))
+        top, leaf = h @ p["top"] + p["top_bias"], h @ p["leaf"][c // size] + p["leaf_bias"][c // size]
+        out.append(top[c // size] - np.log(np.exp(top).sum()) + leaf[c % size] - np.log(np.exp(leaf).sum()))
+    return out
+
+
+def test_probabilities_sum_to_one():
+    rnd = np.random.default_rng(5)
+    p = network(rnd)
+    texts = [[int(x) for x in rnd.integers(0, CLASSES, 5)] for _ in range(3)]
+    total = 0.0
+    for c in range(CLASSES):
+        total += np.exp(plain_log_probs(p, [*texts[0][:2], c, *texts[0][3:]], CLASSES)[2])
+    assert abs(total - 1) < 1e-6
+    row, places = lm_scoring.padded(np.array(sum(texts, [])), np.array([5, 5, 5]), CLASSES)
+    want = [x for t in texts for x in plain_log_probs(p, t, CLASSES)]
+    assert np.allclose(lm_scoring.token_scores(p, row, places), want)
+
+
+def test_scores_equal_brute_force(spark, docs):
+    """Every document's score from the fitted network and plain counts, word by word."""
+    from collections import Counter
+
+    fit = lm_scoring.fitted(docs)
+    rows = docs.collect()
+    split = lambda t: re.findall(lm_scoring.WORD, t or "")
+    counts = Counter(w for r in rows for w in split(r.text))
+    tokens = lm_scoring.Tokens(fit.top, len(fit.totals) - len(fit.top))
+    inside = Counter()
+    for w, n in counts.items():
+        inside[tokens.of(w)] += n
+    assert [inside[c] for c in range(len(fit.totals))] == fit.totals.tolist()
+    got = {r.doc_id: r for r in lm_scoring.pseudo_likelihood(docs).collect()}
+    for r in rows[:60]:
+        words = split(r.text)[:4000]
+        if len(words) == 4000 or r.doc_id is None:
+            continue
+        codes = [tokens.of(w) for w in words]
+        want = sum(plain_log_probs(fit.model, codes, len(fit.totals))) + sum(np.log(counts[w] / inside[c]) for w, c in zip(words, codes, strict=True))
+        assert abs(got[r.doc_id].log_prob - want) < 1e-3 * max(1, len(words)), r.doc_id
+
+
+def test_training_beats_counts_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    losses = lm_scoring.fitted(docs).losses
+    # The start's biases are the classes' frequencies.
+    assert losses[-1] < losses[0] - 0.2
 
 
 def test_pseudo_likelihood(spark, docs):
@@ -61,7 +125,7 @@ def test_rare_words_are_scored_by_their_counts(spark, monkeypatch):
     assert len(by) == len(rows)
     # All of these end alike, so only the counts within the class, or a class of its own, tell 30 occurrences from one.
     assert by[0].log_prob > by[60].log_prob + 2
-    monkeypatch.setattr(lm_scoring, "HEAD", 170)
+    monkeypatch.setattr(lm_scoring, "HEAD", 0)
     again = {r.doc_id: r for r in lm_scoring.pseudo_likelihood(table(spark, rows)).collect()}
     assert all(abs(again[k].log_prob - by[k].log_prob) < 1e-3 for k in by)
 
@@ -84,8 +148,8 @@ def test_vocabulary_follows_the_corpus():
 def test_training_beats_word_frequencies():
     rnd = np.random.default_rng(1)
     start = rnd.integers(0, 40, 4000)
-    row, places = lm_scoring.padded([np.stack([start, start + 40], 1).ravel()])
-    p = lm_scoring.parameters()
+    row, places = lm_scoring.padded(np.stack([start, start + 40], 1).ravel(), np.array([8000]), 80)
+    p = lm_scoring.parameters(np.full(80, 100.0))
     before = lm_scoring.token_scores(p, row, places).mean()
     for _ in range(40):
         lm_scoring.train(p, row, places)
@@ -97,7 +161,7 @@ def test_word_counts(spark, docs):
 
     want = Counter()
     for r in docs.collect():
-        want.update((r.text or "").split())
+        want.update(re.findall(lm_scoring.WORD, r.text or ""))
     assert {r.word: r.n for r in lm_scoring.word_counts(docs, "text").collect()} == dict(want)
 
 
