@@ -141,19 +141,28 @@ def license_sql() -> str:
     """op6 in SQL, over the same digests."""
     from lodestone.llm import licenses as li
 
-    norm = f"lower(regexp_replace(x, '{li.COPYRIGHT}', ' ', 'g'))"
-    norm = f"trim(regexp_replace({norm}, '{li.PUNCTUATION}', ' ', 'g'), ' ')"
-    for pattern, to in li.SPELLINGS:
-        norm = f"regexp_replace({norm}, '{pattern}', '{to.replace('$1', chr(92) + '1')}', 'g')"
+    def norm(x: str) -> str:
+        out = f"lower(regexp_replace({x}, '{li.COPYRIGHT}', ' ', 'g'))"
+        out = f"trim(regexp_replace({out}, '{li.PUNCTUATION}', ' ', 'g'), ' ')"
+        for pattern, to in li.SPELLINGS:
+            out = f"regexp_replace({out}, '{pattern}', '{to.replace('$1', chr(92) + '1')}', 'g')"
+        return out
+
     values = ", ".join(f"('{d}', '{i}', {str(p).lower()})" for d, i, p in li.known())
+    lengths = ", ".join(f"('{o}', {n})" for o, ns in li.runs().items() for n in ns)
     return rf"""
 WITH k(digest, license, free) AS (VALUES {values}),
+o(opening, length) AS (VALUES {lengths}),
 d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-u AS (SELECT doc_id, 0 AS kind, t AS x FROM d UNION ALL SELECT doc_id, 1, unnest(string_split(t, chr(10))) FROM d
-  UNION ALL SELECT doc_id, 1, b FROM (SELECT doc_id, unnest(regexp_split_to_array(t, '
-[ 	]*
-')) AS b FROM d) WHERE contains(b, chr(10))),
-h AS (SELECT doc_id, kind, license, free FROM (SELECT doc_id, kind, sha256({norm}) AS digest FROM u) JOIN k USING (digest)),
+b AS (SELECT doc_id, regexp_split_to_array(t, '{li.BLANK_LINE}') AS b FROM d),
+n AS (SELECT doc_id, list_filter(list_transform(b, lambda x: {norm("x")}), lambda x: x <> '') AS n FROM b),
+p AS (SELECT doc_id, array_to_string(n, ' ') AS whole, unnest(n) AS p, unnest(range(1, len(n) + 1)) AS i FROM n),
+s AS (SELECT *, 1 + sum(length(p) + 1) OVER w - length(p) - 1 AS start, sum(length(p) + 1) OVER w AS stop FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT a.doc_id, substr(a.whole, a.start::BIGINT, o.length) AS x FROM s a JOIN o ON substr(a.whole, a.start::BIGINT, {li.OPENING}) = o.opening
+  JOIN s z ON z.doc_id = a.doc_id AND z.i > a.i AND z.stop = a.start + o.length),
+u AS (SELECT doc_id, 0 AS kind, array_to_string(n, ' ') AS x FROM n UNION ALL SELECT doc_id, 1, {norm("x")} FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d)
+  UNION ALL SELECT doc_id, 1, {norm("x")} FROM (SELECT doc_id, unnest(b) AS x FROM b) WHERE contains(trim(x, ' ' || chr(9) || chr(10) || chr(13)), chr(10)) UNION ALL SELECT doc_id, 1, x FROM r),
+h AS (SELECT doc_id, kind, license, free FROM (SELECT doc_id, kind, sha256(x) AS digest FROM u) JOIN k USING (digest)),
 g AS (SELECT doc_id, max(license) FILTER (kind = 0) AS whole, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(*) FILTER (kind = 1) AS n, bool_or(NOT free) AS restricted FROM h GROUP BY doc_id)
 SELECT doc_id, whole, coalesce(licenses, '') AS licenses, coalesce(n, 0)::BIGINT AS n_notices, coalesce(restricted, false) AS restricted FROM d LEFT JOIN g USING (doc_id)
 """
