@@ -1,10 +1,10 @@
 """SimHash near-duplicates: byte-position inverted index, count filter on shared positional bytes, verification.
 
-Fingerprints within DISTANCE bits share at least BYTES - DISTANCE of their bytes in place. A posting list per
-single positional byte has 256 values whatever the corpus, so lists would grow with the corpus and their pairs with
-its square. The lists kept here are the intersections of SHARED positional lists, that is, the guaranteed minimum of
-matches: a pair reaches that minimum exactly if it meets in such a list. There the shared bytes are tallied,
-and pairs with enough are verified on all bits.
+Fingerprints within DISTANCE bits share at least SHARED = BYTES - DISTANCE of their bytes in place. A posting list per
+single positional byte has 256 values whatever the corpus, so lists would grow with it and their pairs with
+its square. The lists kept are intersections of such lists: of three positions, and of SHARED ones for more than
+WIDE fingerprints, so that lists stay short. A pair is tallied in the first list where it meets; those
+with fewer than SHARED shared positional bytes are dropped, the others verified on all bits.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from lodestone.llm.common import ROW, WORD, components, cut, free, map_texts, wi
 
 BYTES, DISTANCE, SHINGLE, SEED = 8, 4, 4, 42
 SHARED = BYTES - DISTANCE
-SETS = list(itertools.combinations(range(BYTES), SHARED))
+#: Distinct fingerprints up to which lists of three positions are short (one on average), so that the tally decides.
+WIDE = 1 << 24
 #: Of lists longer than this, blocks are paired in separate groups; of runs longer than RUN, a spanning forest is made.
 BLOCK, RUN = 8192, 64
 _WORD = re.compile(WORD)
@@ -57,14 +58,18 @@ def fingerprints(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     return map_texts(docs, text_col, keep, [T.StructField("fp", T.LongType())], work)
 
 
-def _first_sets() -> np.ndarray:
-    """For each mask of equal bytes, the number of the set that its lowest SHARED positions make; -1 for fewer."""
-    number = {s: i for i, s in enumerate(SETS)}
+def position_sets(width: int) -> list[tuple[int, ...]]:
+    return list(itertools.combinations(range(BYTES), width))
+
+
+def _first_sets(width: int) -> np.ndarray:
+    """For each mask of equal bytes, the number of the set that its lowest width positions make; -1 if fewer than SHARED are equal."""
+    number = {s: i for i, s in enumerate(position_sets(width))}
     out = np.full(1 << BYTES, -1, np.int64)
     for mask in range(1 << BYTES):
         on = tuple(i for i in range(BYTES) if mask >> i & 1)
         if len(on) >= SHARED:
-            out[mask] = number[on[:SHARED]]
+            out[mask] = number[on[:width]]
     return out
 
 
@@ -107,9 +112,9 @@ def _long_run(fps: np.ndarray, blocks: np.ndarray, across: bool) -> list[tuple[i
     return out
 
 
-def links_of_lists(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def links_of_lists(parts: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """From rows (list, i, j, block, fp) sorted by (list, i, j): links a, b between fingerprints that meet there."""
-    first_set = _first_sets()
+    first_set = _first_sets(width)
     left: list[np.ndarray] | None = None
 
     def solve(cols: list[np.ndarray]) -> pa.RecordBatch:
@@ -126,8 +131,7 @@ def links_of_lists(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(at):
                 break
             differs = fp[at] ^ fp[at + gap]
-            tally = first_set[equal_bytes(differs)]
-            good = (tally == key[at] >> 32) & (np.bitwise_count(differs) <= DISTANCE)
+            good = (first_set[equal_bytes(differs)] == key[at] >> 32) & (np.bitwise_count(differs) <= DISTANCE)
             good &= (i[at] == j[at]) | (block[at] != block[at + gap])
             a.append(fp[at[good]])
             b.append(fp[at[good] + gap])
@@ -156,11 +160,11 @@ def links_of_lists(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(left)
 
 
-def lists_of(fps: DataFrame) -> DataFrame:
-    """(list, fp): the number of a set of positions, above the bytes of fp there."""
+def lists_of(fps: DataFrame, width: int) -> DataFrame:
+    """(list, fp): the number of a set of width positions, above the bytes of fp there."""
     byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(0xFF)
     keys = []
-    for number, positions in enumerate(SETS):
+    for number, positions in enumerate(position_sets(width)):
         key = F.lit(number << 32).cast("long")
         for k, p in enumerate(positions):
             key = key.bitwiseOR(F.shiftleft(byte(p), 8 * k))
@@ -168,13 +172,14 @@ def lists_of(fps: DataFrame) -> DataFrame:
     return fps.select(F.explode(F.array(*keys)).alias("list"), "fp")
 
 
-def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
+def links(fps: DataFrame, block: int = BLOCK, wide: int = WIDE) -> DataFrame:
     """Links (a, b) of distinct fingerprints fps(fp) that connect all that lie within DISTANCE bits of each other.
 
     Every list is counted; one of more than block fingerprints is split into blocks by a hash, and each pair of blocks
     is a group of its own, so that no task holds more than two blocks of one list.
     """
-    lists = lists_of(fps)
+    width = SHARED - 1 if fps.count() <= wide else SHARED
+    lists = lists_of(fps, width)
     zero = F.lit(0).cast("int")
     sized = lists.groupBy("list").count().where(F.col("count") > block)
     hot = cut(sized.select("list", F.ceil(F.col("count") / block).cast("int").alias("n")))
@@ -187,7 +192,7 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
         rows = rows.select("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp")
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "list", "i", "j").sortWithinPartitions("list", "i", "j")
-    return rows.mapInArrow(links_of_lists, "a long, b long")
+    return rows.mapInArrow(lambda parts: links_of_lists(parts, width), "a long, b long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

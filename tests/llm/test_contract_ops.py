@@ -133,8 +133,8 @@ def test_spark_hash_is_the_contract_hash(spark):
     assert spark.sql("select xxhash64('äb c')").first()[0] % 2**64 == xxhash.xxh64_intdigest("äb c", 42)
 
 
-@pytest.mark.parametrize("block", [20, 8192])
-def test_links_connect_what_brute_force_connects(spark, block):
+@pytest.mark.parametrize(("block", "wide"), [(20, 1 << 24), (8192, 1 << 24), (8192, 0), (20, 0)])
+def test_links_connect_what_brute_force_connects(spark, block, wide):
     rnd = np.random.default_rng(3)
     seeds = rnd.integers(0, 2**63, 4, dtype=np.uint64)
     fps = {int(s) for s in rnd.integers(0, 2**63, 300, dtype=np.uint64)}
@@ -146,7 +146,7 @@ def test_links_connect_what_brute_force_connects(spark, block):
             fps.add(x)
     fps = np.array(sorted(fps), np.uint64)
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    edges = [(r.a, r.b) for r in simhash.links(df, block).collect()]
+    edges = [(r.a, r.b) for r in simhash.links(df, block, wide).collect()]
     label = {int(x): int(x) for x in fps.view(np.int64)}
 
     def closed(pairs):
@@ -170,6 +170,15 @@ def test_links_connect_what_brute_force_connects(spark, block):
     assert closed(edges) == closed([(int(signed[i]), int(signed[j])) for i, j in near if i < j])
 
 
+def test_the_count_filter_drops_pairs_that_meet_in_too_few_lists():
+    """Three shared bytes put a pair in a list, but only with a fourth is it verified."""
+    first = simhash._first_sets(3)
+    for mask in range(256):
+        assert (first[mask] >= 0) == (mask.bit_count() >= 4)
+    met = [m for m in range(256) if m.bit_count() == 3]
+    assert len(met) == len(simhash.position_sets(3)) and all(first[m] == -1 for m in met)
+
+
 def test_drop_near(docs, none):
     kept = simhash.drop_near(docs)
     assert kept.columns == docs.columns
