@@ -6,8 +6,10 @@ Offsets are exact: bytes and lines of the part in the file, overlaps counted onc
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
+from itertools import pairwise
+from typing import NamedTuple
 
 OVERLAP = 200
 
@@ -69,106 +71,155 @@ def chunk_lines(text: str, limit: int, kind: str = "file", symbol: str | None =
 #: Fixed patterns of the Markdown dialect.
 _HEADING = re.compile(r" {0,3}(#{1,6})[ \t]+(.*)")
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)")
-_RULE = re.compile(r" {0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})")
-_BARE_RULE = re.compile(r"-{3,}|\*{3,}|_{3,}")
-_OPEN = re.compile(r" {0,3}<details\b", re.IGNORECASE)
-_CLOSE = re.compile(r" {0,3}</details\s*>", re.IGNORECASE)
+_RULE = re.compile(r" {0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})|\s*(?:-{3,}|\*{3,}|_{3,})\s*")
+_OPEN = re.compile(r" {0,3}<details\b.*", re.IGNORECASE)
+_CLOSE = re.compile(r" {0,3}</details\s*>.*", re.IGNORECASE)
 _TURN = re.compile(r"<summary>\s*(\d{4}-\d{2}-\d{2}T[^<\s]+)\s+-\s+(user|agent)\s*:\s*(.*?)</summary>", re.IGNORECASE | re.DOTALL)
 
 
-@dataclass
+class Line(NamedTuple):
+    """A line that means something outside fences: what it is, its place, and for headings the level and title."""
+
+    kind: str
+    number: int
+    start: int
+    stop: int
+    level: int = 0
+    title: str = ""
+
+
+def marked_lines(text: str) -> Iterator[Line]:
+    """Headings, rules, and opened and closed details blocks of a text; lines inside fences are plain."""
+    fence, stop = "", 0
+    for number, line in enumerate(text.splitlines(keepends=True), 1):
+        start, stop, bare = stop, stop + len(line), line.rstrip("\r\n")
+        ticks = _FENCE.fullmatch(bare)
+        if fence:
+            # Closed by as many of the same mark, with nothing behind them.
+            if ticks and ticks[1].startswith(fence) and not ticks[2].strip():
+                fence = ""
+            continue
+        if ticks and not (ticks[1].startswith("`") and "`" in ticks[2]):
+            fence = ticks[1]
+        elif _RULE.fullmatch(bare):
+            yield Line("rule", number, start, stop)
+        elif heading := _HEADING.fullmatch(bare):
+            yield Line("heading", number, start, stop, len(heading[1]), heading[2].strip())
+        elif _OPEN.fullmatch(bare):
+            yield Line("open", number, start, stop)
+        elif _CLOSE.fullmatch(bare):
+            yield Line("close", number, start, stop)
+
+
+class Cut(NamedTuple):
+    """Where one section ends and the next begins (a rule lies between), the next one's line and breadcrumb."""
+
+    end: int
+    begin: int
+    line: int
+    title: str | None
+
+
+def cuts(lines: Iterable[Line]) -> Iterator[Cut]:
+    """Headings and rules cut; a details block is cut out as a whole, and headings inside it are its own affair."""
+    trail: list[str] = []
+    inside = 0
+    for x in lines:
+        if x.kind == "rule":
+            yield Cut(x.start, x.stop, x.number + 1, None)
+        elif x.kind == "heading" and not inside:
+            trail[x.level - 1 :] = [x.title]
+            yield Cut(x.start, x.start, x.number, " > ".join(trail))
+        elif x.kind == "open":
+            inside += 1
+            if inside == 1:
+                yield Cut(x.start, x.start, x.number, None)
+        elif x.kind == "close" and inside:
+            inside -= 1
+            if not inside:
+                yield Cut(x.stop, x.stop, x.number + 1, None)
+
+
+@dataclass(frozen=True)
 class Section:
     title: str | None
     line: int
     start: int
-    body: str = ""
-
-
-class _Outline:
-    """Collects sections line by line: headings open them, rules and details blocks close them, fences hide both."""
-
-    def __init__(self):
-        self.done: list[Section] = []
-        self.open = Section(None, 1, 0)
-        self.trail: list[str] = []
-        self.fence: re.Pattern | None = None
-        self.depth = 0
-
-    def turn_to(self, title: str | None, line: int, start: int) -> None:
-        if self.open.body or self.open.title:
-            self.done.append(self.open)
-        self.open = Section(title, line, start)
-
-    def take(self, number: int, start: int, line: str) -> None:
-        bare, after = line.rstrip("\r\n"), start + len(line)
-        if self.fence:
-            self.open.body += line
-            if self.fence.fullmatch(bare):
-                self.fence = None
-        elif (m := _FENCE.fullmatch(bare)) and not (m[1][0] == "`" and "`" in m[2]):
-            self.open.body += line
-            self.fence = re.compile(rf" {{0,3}}{re.escape(m[1][0])}{{{len(m[1])},}}\s*")
-        elif _RULE.fullmatch(bare) or _BARE_RULE.fullmatch(bare.strip()):
-            self.turn_to(None, number + 1, after)
-        elif _OPEN.match(bare):
-            if not self.depth:
-                self.turn_to(None, number, start)
-            self.depth += 1
-            self.open.body += line
-        elif self.depth and _CLOSE.match(bare):
-            self.open.body += line
-            self.depth -= 1
-            if not self.depth:
-                self.turn_to(None, number + 1, after)
-        elif not self.depth and (m := _HEADING.fullmatch(bare)):
-            self.trail = [*self.trail[: len(m[1]) - 1], m[2].strip()]
-            self.turn_to(" > ".join(self.trail), number, start)
-            self.open.body = line
-        else:
-            self.open.body += line
+    body: str
 
 
 def sections(text: str) -> list[Section]:
-    outline, at = _Outline(), 0
-    for number, line in enumerate(text.splitlines(keepends=True), 1):
-        outline.take(number, at, line)
-        at += len(line)
-    outline.turn_to(None, 0, 0)
-    return outline.done
+    """The stretches between cuts that have text."""
+    found = [Cut(0, 0, 1, None), *cuts(marked_lines(text)), Cut(len(text), len(text), 0, None)]
+    whole = (Section(a.title, a.line, a.begin, text[a.begin : b.end]) for a, b in pairwise(found))
+    return [s for s in whole if s.body.strip()]
+
+
+class Turn(NamedTuple):
+    at: str
+    role: str
+    preview: str
+
+    @property
+    def label(self) -> str:
+        return f"{self.at} - {self.role}: {self.preview}"
+
+    @property
+    def summary(self) -> str:
+        return f"<summary>{self.label}</summary>"
+
+
+def turn_of(section: Section) -> Turn | None:
+    m = _TURN.search(section.body)
+    return Turn(m[1], m[2].lower(), " ".join(m[3].split())) if m else None
+
+
+class Spoken(NamedTuple):
+    """A section with its turn, the transcript's title and the user's turn before it."""
+
+    section: Section
+    turn: Turn | None
+    topic: str | None
+    asked: tuple[Section, Turn] | None
+
+
+def conversation(found: list[Section]) -> Iterator[Spoken]:
+    """Sections with what was said before them."""
+    topic, asked = None, None
+    for s in found:
+        if s.title and " > " not in s.title and s.body.lstrip().startswith("# "):
+            topic = s.title
+        turn = turn_of(s)
+        yield Spoken(s, turn, topic, asked)
+        if turn and turn.role == "user":
+            asked = s, turn
+
+
+def lead_in(x: Spoken, part: int, text: str) -> list[str]:
+    """What goes before a part of a turn: an answer's first part repeats the question, later parts say whose they are."""
+    if x.turn is None:
+        return []
+    if x.turn.role == "agent" and x.asked:
+        question, asker = x.asked
+        return [question.body.rstrip()] if part == 0 else [x.turn.summary, *([f"User: {asker.preview}"] if asker.preview else [])]
+    return [x.turn.summary] if part and x.turn.summary not in text else []
 
 
 def chunk_markdown(text: str, limit: int) -> list[Piece]:
-    """Sections with their breadcrumbs; chat turns repeat the question they answer."""
+    """Sections with their breadcrumbs; chat turns carry facets and repeat the question they answer."""
     out: list[Piece] = []
-    title, asked, question = None, "", ""
-    for s in sections(text):
-        if not s.body.strip():
-            continue
-        if s.title and " > " not in s.title and s.body.lstrip().startswith("# "):
-            title = s.title
-        turn = _TURN.search(s.body)
-        path, symbol, kind, facets, summary, role = s.title, None, "prose", {}, "", ""
-        if s.title:
-            symbol, kind = s.title.split(" > ")[-1], "heading"
+    for x in conversation(sections(text)):
+        s, turn = x.section, x.turn
+        kind, path, facets = ("heading" if s.title else "prose"), s.title, {}
+        symbol = s.title.rpartition(" > ")[2] if s.title else None
         if turn:
-            role, preview = turn[2].lower(), " ".join(turn[3].split())
-            label = f"{turn[1]} - {role}: {preview}"
-            path, kind, summary = (f"{title} > {label}" if title else label), "turn", f"<summary>{label}</summary>"
-            symbol = preview or symbol
-            facets = {"at": [turn[1]], "day": [turn[1][:10]], "role": [role]}
-        before = len(text[: s.start].encode("utf-8", "surrogatepass"))
-        for k, piece in enumerate(chunk_lines(s.body, limit, kind, symbol, s.line, before)):
-            lead: list[str] = []
-            if role == "agent" and asked:
-                if not k:
-                    lead = [asked.rstrip()]
-                else:
-                    lead = [summary, f"User: {question}"] if question else [summary]
-            elif k and summary and summary not in piece.text:
-                lead = [summary]
-            out.append(replace(piece, heading_path=path, facets=facets, text="\n\n".join([*lead, piece.text])))
-        if role == "user":
-            asked, question = s.body, preview
+            kind, symbol = "turn", turn.preview or symbol
+            path = " > ".join(filter(None, [x.topic, turn.label]))
+            facets = {"at": [turn.at], "day": [turn.at[:10]], "role": [turn.role]}
+        byte = len(text[: s.start].encode("utf-8", "surrogatepass"))
+        for k, piece in enumerate(chunk_lines(s.body, limit, kind, symbol, s.line, byte)):
+            body = "\n\n".join([*lead_in(x, k, piece.text), piece.text])
+            out.append(replace(piece, heading_path=path, facets=facets, text=body))
     return out
 
 

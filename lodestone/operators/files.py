@@ -2,25 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import hard_excluded
 
 
+def claimed_by(path: Column) -> Column:
+    """Whether a row of groups takes a path."""
+    hit = F.exists("include", lambda p: F.rlike(path, p)) & ~F.exists("exclude", lambda p: F.rlike(path, p))
+    return hit & ~hard_excluded(path)
+
+
 def claim(files: DataFrame, groups: DataFrame, path: str = "path") -> DataFrame:
     """Each file's winning group per space: highest priority, then name.
 
     groups(name, space, priority, include array<regex>, exclude array<regex>, enabled) is a driver-written table of
     a project's configuration; it is joined by Spark's own choice of a nested loop over its few rows.
     """
-    rel = F.col(path)
-    hit = F.exists("include", lambda p: F.rlike(rel, p)) & ~F.exists("exclude", lambda p: F.rlike(rel, p))
-    pairs = files.join(groups.where("enabled"), hit & ~hard_excluded(rel))
+    pairs = files.join(groups.where("enabled"), claimed_by(F.col(path)))
     order = Window.partitionBy("space", path).orderBy(F.desc("priority"), "name")
     return pairs.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank", "include", "exclude", "enabled")
 
 
+def lookup(claimed: DataFrame, wanted: DataFrame, space: str | None = None) -> DataFrame:
+    """Claimed files of wanted(path), of one space or all, by falling priority, then path; paths that no group claims are missing."""
+    rows = claimed if space is None else claimed.where(F.col("space") == space)
+    return rows.join(wanted.select("path").distinct(), "path", "left_semi").orderBy(F.desc("priority"), "path")
+
+
+def changed_paths(claimed: DataFrame, ledger: DataFrame, key: tuple[str, ...] = ("space", "path")) -> DataFrame:
+    """(path) that differ in any space: new, of another size or time than the ledger has, or gone."""
+    f, m = claimed.select(*key, "size", "mtime_ns"), ledger.select(*key, F.col("size").alias("_size"), F.col("mtime_ns").alias("_mtime"))
+    same = (F.col("size") == F.col("_size")) & (F.col("mtime_ns") == F.col("_mtime")) & (F.col("mtime_ns") != 0)
+    return f.join(m, list(key), "full").where(~F.coalesce(same, F.lit(False))).select("path").distinct()
+
+
 def incremental(files: DataFrame, ledger: DataFrame, wanted: DataFrame | None = None, rebuild: bool = False, max_bytes: int = 8_000_000) -> DataFrame:
     """(path, outcome): what a run does with every file of files(path, size, mtime_ns, sha256, language) or ledger (same, as indexed).
 
@@ -29,7 +48,7 @@ def incremental(files: DataFrame, ledger: DataFrame, wanted: DataFrame | None =
     f, m = files.alias("f"), ledger.alias("m")
     both = f.join(m, F.col("f.path") == F.col("m.path"), "full")
     path = F.coalesce(F.col("f.path"), F.col("m.path")).alias("path")
-    large = (F.col("f.size") > max_bytes) & ~F.col("f.language").eqNullSafe(F.lit("openapi"))
+    large = too_large(F.col("f.size"), F.col("f.language"), max_bytes)
     same_stat = (F.col("f.mtime_ns") != 0) & (F.col("f.mtime_ns") == F.col("m.mtime_ns")) & (F.col("f.size") == F.col("m.size"))
     outcome = (
         F.when(F.col("f.path").isNull(), "deleted")
@@ -46,6 +65,21 @@ def incremental(files: DataFrame, ledger: DataFrame, wanted: DataFrame | None =
     return plan
 
 
+def deleted(files: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Ledger rows whose file is gone."""
+    return ledger.join(files.select("path"), "path", "left_anti")
+
+
+def too_large(size: Column, language: Column, max_bytes: int = 8_000_000) -> Column:
+    """Whether a file isn't read for its size; OpenAPI files always are."""
+    return (size > max_bytes) & ~language.eqNullSafe(F.lit("openapi"))
+
+
+def kept_keys(*spaces: DataFrame) -> DataFrame:
+    """(key) that any of the spaces(key) still needs."""
+    return reduce(DataFrame.unionByName, (s.select("key") for s in spaces)).distinct()
+
+
 def upsert(points: DataFrame, new: DataFrame, paths: DataFrame) -> DataFrame:
     """points without those of paths(path), then new: a file's chunks are replaced as a whole."""
     return points.join(paths.select("path").distinct(), "path", "left_anti").unionByName(new)

@@ -1,13 +1,19 @@
-"""Tables as versioned folders of Parquet and a pointer to the current one: readers see the old rows or the new, never both.
+"""Tables as versioned Parquet folders behind a pointer: readers see the old rows or the new, never both.
 
-Paths go through Spark's own file system layer, so a table lies in any store that Spark reads.
+A table may be dealt into parts by a hash of key columns; a change then writes the parts that it touches, and the pointer names
+each part's folder. Paths go through Spark's own file system layer, so a table lies in any store that Spark reads.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+PARTS = 64
 
 
 class TableError(RuntimeError):
@@ -15,51 +21,84 @@ class TableError(RuntimeError):
 
 
 class Table:
-    def __init__(self, spark: SparkSession, path: str, partition_by: tuple[str, ...] = ()):
-        self.spark, self.path, self.partition_by = spark, path.rstrip("/"), partition_by
+    def __init__(self, spark: SparkSession, path: str, by: tuple[str, ...] = (), parts: int = PARTS):
+        self.spark, self.path, self.by, self.parts = spark, path.rstrip("/"), by, parts if by else 1
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(self.path)
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def version(self) -> str | None:
-        """Name of the current version; None if the table was never written."""
+    def _current(self) -> dict | None:
+        """The pointer: schema, folder by part, folders of the version before. None if the table was never written."""
         fs, path = self._fs()
         pointer = path(f"{self.path}/CURRENT")
         if not fs.exists(pointer):
             return None
         stream = fs.open(pointer)
         try:
-            name = bytes(stream.readAllBytes()).decode().strip()
+            found = json.loads(bytes(stream.readAllBytes()).decode())
+            if not all(fs.exists(path(f"{self.path}/{f}")) for f in found["parts"].values()):
+                raise ValueError
+        except (ValueError, KeyError, TypeError, AttributeError):
+            raise TableError(f"{self.path}: its pointer names no version") from None
         finally:
             stream.close()
-        if not name.startswith("v-") or not fs.exists(path(f"{self.path}/{name}")):
-            raise TableError(f"{self.path}: its pointer names no version")
-        return name
+        return found
+
+    def part(self) -> Column:
+        """Number of the part that a row with the key columns belongs to."""
+        return F.pmod(F.xxhash64(*self.by), F.lit(self.parts)).cast("int") if self.by else F.lit(0)
 
-    def read(self) -> DataFrame | None:
-        name = self.version()
-        return None if name is None else self.spark.read.parquet(f"{self.path}/{name}")
+    def touched(self, keys: DataFrame) -> set[int]:
+        """Parts that rows with these keys are in; there are `parts` of them at most."""
+        return {r.p for r in keys.select(self.part().alias("p")).distinct().collect()}
+
+    def read(self, only: set[int] | None = None) -> DataFrame | None:
+        """The rows (of some parts only); None if the table was never written. A table without rows keeps its schema."""
+        now = self._current()
+        if now is None:
+            return None
+        schema = StructType.fromJson(now["schema"])
+        folders = [f"{self.path}/{f}" for p, f in sorted(now["parts"].items()) if only is None or int(p) in only]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def replace(self, df: DataFrame, only: set[int] | None = None) -> None:
+        """Write df beside the current version, then turn the pointer; with only, df has the rows of these parts and the others stay.
+
+        Folders of the version before stay for readers that have it open; older ones go.
+        """
+        fs, path = self._fs()
+        now, name = self._current() or {"parts": {}}, f"v-{uuid.uuid4().hex}"
+        if self.by:
+            df.withColumn("part", self.part()).repartition("part").write.partitionBy("part").parquet(f"{self.path}/{name}")
+            written = [s.getPath().getName() for s in fs.listStatus(path(f"{self.path}/{name}")) if s.isDirectory()]
+            parts = {f.removeprefix("part="): f"{name}/{f}" for f in written if f.startswith("part=")}
+        else:
+            df.write.parquet(f"{self.path}/{name}")
+            parts = {"0": name}
+        if only is not None:
+            parts |= {p: f for p, f in now["parts"].items() if int(p) not in only}
+        self._point({"schema": df.schema.jsonValue(), "parts": parts, "before": sorted(now["parts"].values())})
+        kept = {f.split("/")[0] for f in [*parts.values(), *now["parts"].values()]} | {name}
+        for status in fs.listStatus(path(self.path)):
+            own = status.getPath().getName()
+            if own.startswith("v-") and own not in kept:
+                fs.delete(status.getPath(), True)
 
-    def replace(self, df: DataFrame) -> None:
-        """Write df beside the current version, then turn the pointer and drop older versions."""
+    def _point(self, to: dict) -> None:
         fs, path = self._fs()
-        before, name = self.version(), f"v-{uuid.uuid4().hex}"
-        writer = df.write.partitionBy(*self.partition_by) if self.partition_by else df.write
-        writer.parquet(f"{self.path}/{name}")
-        fresh = path(f"{self.path}/.CURRENT-{name}")
+        context = self.spark.sparkContext
+        fresh = path(f"{self.path}/.CURRENT-{uuid.uuid4().hex}")
         out = fs.create(fresh, True)
-        out.write(bytearray(name.encode()))
+        out.write(bytearray(json.dumps(to).encode()))
         out.close()
         pointer = path(f"{self.path}/CURRENT")
-        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        rename = getattr(self.spark.sparkContext._jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
-        options = self.spark.sparkContext._gateway.new_array(getattr(self.spark.sparkContext._jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
-        options[0] = rename
-        context.rename(fresh, pointer, options)
-        if before:
-            fs.delete(path(f"{self.path}/{before}"), True)
+        files = context._jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), context._jsc.hadoopConfiguration())
+        kind = getattr(context._jvm, "org.apache.hadoop.fs.Options$Rename")
+        options = context._gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE
+        files.rename(fresh, pointer, options)
 
     def drop(self) -> bool:
         fs, path = self._fs()

@@ -20,8 +20,9 @@ def test_normalize_facets():
     for bad in (["x"], {"1a": "x"}, {"a b": "x"}, {"a": []}, {"a": [" "]}, {"a": [1]}, {"a": 3}):
         with pytest.raises(fc.FacetError):
             fc.normalize(bad)
-    with pytest.raises(fc.FacetError, match="path"):
-        fc.check_not_reserved({"path": ["x"]})
+    with pytest.raises(fc.FacetError, match="role"):
+        fc.check_not_reserved({"role": ["x"]})
+    fc.check_not_reserved({"path": ["x"], "language": ["y"]})
     assert fc.parse_flags(["a=1", "b=2", "a=3"]) == {"a": ["1", "3"], "b": ["2"]}
     with pytest.raises(fc.FacetError):
         fc.parse_flags(["a"])
@@ -93,7 +94,7 @@ def test_config():
     assert config.unknown_filter(project, ["src"], ["code"]) is None
     assert config.backend_id("code", project.spaces["code"]) == "code--exact--voyage-code--d1024--bm25--c2400"
     assert config.table_name("/x/My App", "docs", project.spaces["docs"]).startswith("my-app_docs_exact_")
-    for bad in ('{"defaultSpace": "a", "spaces": {}}', "{", CONFIG.replace('"src", "include"', '"notes", "include"'), CONFIG.replace('"priority": 40', '"odd": 40'), CONFIG.replace('"url"', '"path"'), CONFIG.replace("800", "5")):
+    for bad in ('{"defaultSpace": "a", "spaces": {}}', "{", CONFIG.replace('"src", "include"', '"notes", "include"'), CONFIG.replace('"priority": 40', '"odd": 40'), CONFIG.replace('"url"', '"role"'), CONFIG.replace("800", "5")):
         with pytest.raises(config.ConfigError):
             config.parse(bad)
 

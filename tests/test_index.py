@@ -53,8 +53,11 @@ def test_claims(spark, root):
 def test_index_runs(spark, root, tmp_path):
     project, index = parse(PROJECT), Index(spark, str(tmp_path / "store"))
     first = index.run(str(root), project)
-    assert first.counts == {"new": 6} and first.rebuilt
+    assert first.counts == {"new": 6, "error": 2} and first.rebuilt and first.errors == [("bad.md", "not utf-8")]
+    (root / "bad.md").unlink()
+    stored = sorted(os.listdir(tmp_path / "store" / "points"))
     assert index.run(str(root), project).counts == {"skip_stat": 6}
+    assert sorted(os.listdir(tmp_path / "store" / "points")) == stored
     os.utime(root / "a.md", ns=(1, 1))
     assert index.run(str(root), project).counts == {"skip_stat": 4, "skip_hash": 2}
     assert index.run(str(root), project).counts == {"skip_stat": 6}
@@ -75,6 +78,79 @@ def test_index_runs(spark, root, tmp_path):
     assert index.run(str(root), project).counts == {"new": 3}
 
 
+def test_files_that_fail_keep_their_points(spark, root, tmp_path):
+    """A file that becomes unreadable or too large is reported; what is stored of it stays, and others go on."""
+    project, index = parse(PROJECT), Index(spark, str(tmp_path / "store"))
+    (root / "bad.md").unlink()
+    index.run(str(root), project)
+    before = index.points.read().count()
+    (root / "a.md").write_bytes(b"\xff\xfe\x00")
+    (root / ".hidden" / "b.md").write_text("# Beta\n" + "long line of words\n" * 460_000)
+    (root / "src" / "x.ts").write_text("export function gamma() { return 3; }\n")
+    report = index.run(str(root), project)
+    assert report.counts == {"error": 2, "skip_large": 2, "changed": 1, "skip_stat": 1}
+    assert report.errors == [("a.md", "not utf-8")]
+    assert index.points.read().count() == before
+    assert index.points.read().where("path IN ('a.md', '.hidden/b.md')").count() > 0
+    (root / "a.md").write_text("# Alpha again\n\nreadable once more, with enough words to keep")
+    assert index.run(str(root), project).counts["changed"] == 2
+
+
+def test_all_files_gone(spark, root, tmp_path):
+    project, index = parse(PROJECT), Index(spark, str(tmp_path / "store"))
+    (root / "bad.md").unlink()
+    index.run(str(root), project)
+    for f in list(root.rglob("*")):
+        if f.is_file():
+            f.unlink()
+    assert index.run(str(root), project).counts == {"deleted": 6}
+    assert index.points.read().count() == 0 and index.ledger.read().count() == 0
+    assert index.run(str(root), project).counts == {}
+
+
+def test_a_part_is_written_alone(spark, root, tmp_path):
+    project, index = parse(PROJECT), Index(spark, str(tmp_path / "store"))
+    index.run(str(root), project)
+    parts = lambda: index.points._current()["parts"]
+    before = parts()
+    (root / "src" / "x.ts").write_text("export function gamma() { return 3; }\n")
+    index.run(str(root), project)
+    assert sum(before.get(p) != f for p, f in parts().items()) == 1
+
+
+def test_large_openapi_files_are_read(spark, tmp_path):
+    from lodestone.plans.index import read_claimed
+
+    root = tmp_path / "specs"
+    root.mkdir()
+    (root / "v--big.openapi.json").write_text('{"openapi": "3.1.0", "info": {"title": "Big", "version": "1", "description": "' + "x" * 8_100_000 + '"}, "paths": {"/a": {"get": {"summary": "Reads."}}}}')
+    project = parse('{"defaultSpace": "s", "spaces": {"s": {"dense": {"model": "hash"}}}, "groups": [{"name": "api", "include": ["**/*.json"], "kind": "openapi"}]}')
+    files = claimed_files(spark, str(root), project)
+    assert [r.error for r in read_claimed(files, str(root)).collect()] == [None]
+    assert Index(spark, str(tmp_path / "store")).run(str(root), project).counts == {"new": 1}
+
+
+def test_lookups(spark, root, tmp_path):
+    from lodestone.operators.files import changed_paths, lookup
+    from lodestone.plans.index import chunks_of_path, claimed_file
+
+    project = parse(PROJECT)
+    claimed = claimed_files(spark, str(root), project)
+    wanted = spark.createDataFrame([("a.md",), ("src/x.ts",), ("none.md",)], "path string")
+    assert [(r.path, r.priority) for r in lookup(claimed, wanted, "code").collect()] == [("src/x.ts", 5), ("a.md", -1)]
+    one = {(r.space, r.name) for r in claimed_file(spark, str(root), project, "a.md").collect()}
+    assert one == {(r.space, r.name) for r in claimed.where("path = 'a.md'").collect()}
+    assert claimed_file(spark, str(root), project, "none.md").count() == 0
+    assert {r.symbol for r in chunks_of_path(spark, str(root), project, "src/x.ts").collect()} == {"alpha"}
+    index = Index(spark, str(tmp_path / "store"))
+    (root / "bad.md").unlink()
+    index.run(str(root), project)
+    assert changed_paths(claimed_files(spark, str(root), project), index.ledger.read()).count() == 0
+    (root / "a.md").unlink()
+    (root / "src" / "y.py").write_text("def delta():\n    return 4\n")
+    assert {r.path for r in changed_paths(claimed_files(spark, str(root), project), index.ledger.read()).collect()} == {"a.md", "src/y.py"}
+
+
 def test_event_log(spark, tmp_path):
     from lodestone.operators.events import append_log
 
@@ -109,7 +185,13 @@ def test_tables(spark, tmp_path):
     t.replace(spark.range(3))
     t.replace(t.read().where("id > 0").union(spark.range(9, 10)))
     assert sorted(r.id for r in t.read().collect()) == [1, 2, 9]
-    assert len([p for p in os.listdir(tmp_path / "t") if p.startswith("v-")]) == 1
+    # A reader of the version before goes on; older versions are gone.
+    opened = t.read()
+    t.replace(spark.range(5))
+    assert opened.count() == 3 and t.read().count() == 5
+    assert len([p for p in os.listdir(tmp_path / "t") if p.startswith("v-")]) == 2
+    t.replace(spark.range(0))
+    assert t.read().columns == ["id"] and t.read().count() == 0
     (tmp_path / "t" / "CURRENT").write_text("junk")
     for f in (tmp_path / "t").glob(".CURRENT.crc"):
         f.unlink()
@@ -134,8 +216,25 @@ def test_watch(spark, root, tmp_path):
     assert seen[-1] == {"a.md"}
 
 
-def test_upsert_batches_are_idempotent(spark, tmp_path):
-    apply = upsert_batches(Table(spark, str(tmp_path / "u")))
+def test_watch_sees_copies_with_old_times(spark, root, tmp_path):
+    from lodestone.sources.config import groups_table
+
+    seen: list[set[str]] = []
+    state = str(tmp_path / "state")
+    groups = groups_table(spark, parse(PROJECT)).where("name = 'notes'")
+    run = lambda: watch(changes(spark, str(root), groups=groups), state, lambda df, n: seen.append({r.path for r in df.collect()})).awaitTermination()
+    run()
+    assert seen == [{".hidden/b.md", "a.md", "bad.md"}]
+    (root / "old.md").write_text("# Old\n")
+    os.utime(root / "old.md", ns=(1, 1))
+    (root / "also.txt").write_text("claimed by no group of these")
+    run()
+    assert seen[-1] == {"old.md"}
+
+
+@pytest.mark.parametrize("by", [(), ("point_id",)])
+def test_upsert_batches_are_idempotent(spark, tmp_path, by):
+    apply = upsert_batches(Table(spark, str(tmp_path / "u"), by))
     one = spark.createDataFrame([("a", 1), ("b", 1)], "point_id string, v int")
     two = spark.createDataFrame([("b", 2)], "point_id string, v int")
     for df, n in ((one, 0), (two, 1), (two, 1)):
