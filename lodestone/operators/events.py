@@ -52,9 +52,21 @@ def cooldown(events: DataFrame, key: str, ts: str, throttled: str, seconds: int
     return found.where("_own").drop("_at", "_slot", "_own")
 
 
-def merged_stats(runs: DataFrame, counters: list[str], stopped: str = "stopped", errors: str = "errors") -> DataFrame:
-    """One row: counters added, stopped if any was, all errors."""
-    return runs.agg(*(F.sum(c).cast("long").alias(c) for c in counters), F.bool_or(stopped).alias(stopped), F.flatten(F.collect_list(errors)).alias(errors))
+def merged_stats(runs: DataFrame, counters: list[str], by: list[str] | None = None, stopped: str = "stopped", errors: str = "errors") -> DataFrame:
+    """Per by (or in all): counters added, stopped if any run was, the number of errors. run_errors lists the errors."""
+    sums = (F.sum(c).cast("long").alias(c) for c in counters)
+    n = F.sum(F.coalesce(F.size(errors), F.lit(0))).cast("long").alias("n_errors")
+    return runs.groupBy(*(by or [])).agg(*sums, F.bool_or(stopped).alias(stopped), n)
+
+
+def run_errors(runs: DataFrame, keep: list[str], errors: str = "errors") -> DataFrame:
+    """(keep, error): all errors of all runs, one a row."""
+    return runs.select(*keep, F.explode(errors).alias("error"))
+
+
+def rate_snapshot(windows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Of rate_window's rows, per by (or in all): requests, their greatest number and weight within a window."""
+    return windows.groupBy(*(by or [])).agg(F.count("*").alias("total_requests"), F.max("requests").alias("max_requests"), F.max("weight").alias("max_weight"))
 
 
 def effective_every(projects: DataFrame, override: str, own: str, default: str) -> DataFrame:

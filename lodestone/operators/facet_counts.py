@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,16 +30,27 @@ def facet_pairs(points: DataFrame, *by: str, column: str = "facets") -> DataFram
 
 
 def facet_overview(points: DataFrame, cap: int = OVERVIEW, column: str = "facets") -> DataFrame:
-    """(key, points, distinct_values, values, truncated): each key's cap first values by name."""
-    pairs = facet_pairs(points, column=column)
-    sizes = pairs.groupBy("key").agg(F.count("*").alias("distinct_values"))
+    """(key, points, distinct_values, values, truncated): each key's cap first values by count, then name.
+
+    One scan: each point adds its values and, as a value of null, itself to a key's counts, and both uses of these counts share a shuffle.
+    """
+    entry = points.select(F.explode(F.map_entries(column)).alias("e"))
+    marks = F.array_append(F.filter(F.array_distinct("e.value"), lambda v: v.isNotNull()), F.lit(None).cast("string"))
+    counts = entry.select(F.col("e.key").alias("key"), F.explode(marks).alias("value")).groupBy("key", "value").agg(F.count("*").alias("n"))
+    own = F.max(F.when(F.col("value").isNull(), F.col("n"))).alias("points")
+    sizes = counts.groupBy("key").agg(F.count("value").alias("distinct_values"), own)
     # The filter on the rank lets every task drop all but its first cap values of a key before the shuffle.
-    order = Window.partitionBy("key").orderBy(F.desc("points"), "value")
-    first = pairs.withColumn("r", F.row_number().over(order)).where(F.col("r") <= cap)
-    best = first.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("r", "value"))).alias("best"))
+    order = Window.partitionBy("key").orderBy(F.col("value").isNull(), F.desc("n"), "value")
+    first = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= cap)
+    best = first.groupBy("key").agg(F.sort_array(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("r", "value")))).alias("best"))
     values = F.transform("best", lambda b: b["value"])
-    joined = sizes.join(best, "key").join(facet_keys(points, column), "key")
-    return joined.select("key", "points", "distinct_values", values.alias("values"), (F.col("distinct_values") > cap).alias("truncated"))
+    return sizes.join(best, "key").select("key", "points", "distinct_values", values.alias("values"), (F.col("distinct_values") > cap).alias("truncated"))
+
+
+def with_meanings(listing: DataFrame, meanings: Mapping[str, str], key: str = "key") -> DataFrame:
+    """A listing of keys with the meanings that a project declares; null where it declares none."""
+    rows = listing.sparkSession.createDataFrame(sorted(meanings.items()), f"{key} string, meaning string")
+    return listing.join(F.broadcast(rows), key, "left")
 
 
 def facets_report(declared: DataFrame, stored: DataFrame, collapse: int = COLLAPSE) -> DataFrame:

@@ -85,6 +85,11 @@ def embedder(make: Callable[[], Provider], chars: int = BATCH_CHARS, count: int
     return embed
 
 
+def query_vector(provider: Provider, text: str) -> list[float]:
+    """A query's vector; models may encode queries unlike documents."""
+    return split_calls(lambda texts: provider.embed(texts, query=True), [text])[0]
+
+
 def contextual(rows: DataFrame, call: Callable[[list[str]], list[list[float]]], by: str = "path", order: str = "ordinal", text: str = "text", key: str = "point_id") -> DataFrame:
     """Vectors of chunks that a model reads document by document: call gets a document's chunks in order."""
 
@@ -97,11 +102,13 @@ def contextual(rows: DataFrame, call: Callable[[list[str]], list[list[float]]],
 
 
 def reranker(make: Callable[[], Callable[[str, Sequence[str]], list[float]]], query: str, text: str = "text") -> Callable:
-    """A score column for search(): the model sees the candidates only, batch by batch."""
+    """A score column for search(): the model is made once per task and sees the candidates only, batch by batch."""
+
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make()
-        return pd.Series([s for b in text_batches([t or "" for t in texts]) for s in patient(model, query, b)], dtype="float64")
+        for texts in batches:
+            yield pd.Series([s for b in text_batches([t or "" for t in texts]) for s in patient(model, query, b)], dtype="float64")
 
     return lambda found: score(found[text])
 

@@ -110,20 +110,28 @@ def term_weight() -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / AVERAGE))
 
 
-def bm25_scores(docs: DataFrame, query: str, key: Sequence[str], total: DataFrame, text: str = "text") -> DataFrame:
-    """(key, score) of documents with a query term. total: one row, n.
+def bm25_scores(docs: DataFrame, query: str, key: Sequence[str], total: DataFrame, text: str = "text", keep: Column | None = None) -> DataFrame:
+    """(key, score) of documents with a query term, of those only where keep holds. total: one row, n.
 
-    Only the query's terms are counted, in the scan itself: no posting list is built or shuffled for other words.
+    Only the query's terms are found, in the scan itself: no posting list is built or shuffled for other words. Frequencies
+    count all documents; they need no lengths, so each text is cut into words once, and only if it has a term.
     """
     terms = sorted(set(_query_terms(query)))
     if not terms:
         return docs.select(*key, F.lit(0.0).alias("score")).limit(0)
-    words = docs.select(*key, tokens(F.col(text)).alias("w")).withColumn("doc_len", F.size("w"))
+    low = F.lower(F.col(text))
+    whole = f"(?<![a-z0-9_])(?:{'|'.join(terms)})(?![a-z0-9_])"
+    found = docs.where(F.rlike(low, F.lit(whole))).select(
+        *key,
+        (F.lit(True) if keep is None else keep).alias("_keep"),
+        F.size(tokens(F.col(text))).alias("doc_len"),
+        F.regexp_extract_all(low, F.lit(whole), F.lit(0)).alias("w"),
+    )
     times = lambda t: F.size(F.filter("w", lambda x: x == F.lit(t)))
-    hits = F.array(*(F.struct(F.lit(t).alias("term"), times(t).alias("tf")) for t in terms))
-    own = words.select(*key, "doc_len", F.explode(hits).alias("h")).select(*key, "doc_len", "h.*").where("tf > 0")
+    hits = F.filter(F.array(*(F.struct(F.lit(t).alias("term"), times(t).alias("tf")) for t in terms)), lambda h: h["tf"] > 0)
+    own = found.select(*key, "_keep", "doc_len", F.explode(hits).alias("h")).select(*key, "_keep", "doc_len", "h.*")
     freq = own.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))
-    weighted = own.join(F.broadcast(freq), "term").withColumn("s", term_weight() * idf(F.col("df"), F.col("n")))
+    weighted = own.where("_keep").join(F.broadcast(freq), "term").withColumn("s", term_weight() * idf(F.col("df"), F.col("n")))
     return weighted.groupBy(*key).agg(F.sum("s").alias("score"))
 
 
@@ -136,9 +144,8 @@ def _query_terms(query: str) -> list[str]:
 def bm25_topk(points: DataFrame, query: str, limit: int = LIMIT, key: str = "point_id", text: str = "text", facets: Mapping | None = None, exclude: Mapping | None = None, digits: int = 6) -> DataFrame:
     """(key, score) best first. Document frequencies are those of all points; the filter applies before the cut."""
     total = points.agg(F.count("*").alias("n"))
-    scored = bm25_scores(points, query, [key], total, text)
-    if facets or exclude:
-        scored = scored.join(filtered(points, facets, exclude).select(key), key, "left_semi")
+    keep = matches(F.col("facets"), facets, exclude) if facets or exclude else None
+    scored = bm25_scores(points, query, [key], total, text, keep)
     return top(scored.withColumn("score", F.round("score", digits)), limit, key)
 
 

@@ -5,7 +5,6 @@ Documents stand for files: path `source/doc_id.md`, facets lang and source. Embe
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -18,7 +17,7 @@ from lodestone.functions import vectors as vc
 from lodestone.operators import batches, corpus, events, facet_counts, files, search
 from lodestone.operators.chunk import chunk_files, min_chars_filter
 from lodestone.sources.globs import to_regex
-from lodestone.sources.tables import Table
+from lodestone.sources.tables import Table, shared_folder
 from lodestone.streaming.watch import upsert_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,13 +147,18 @@ def hash_embed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i FROM embeddings)
-SELECT vec_id, list(round(greatest(-1, least(1, x / 0.25::DOUBLE)) * 127)::TINYINT ORDER BY i)::VARCHAR AS q8 FROM x GROUP BY vec_id
+WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i FROM embeddings),
+h AS (SELECT ceil(abs(x) * 10000)::BIGINT AS k, count(*) AS n FROM x GROUP BY 1),
+c AS (SELECT k, sum(n) OVER (ORDER BY k) AS upto, sum(n) OVER () AS al FROM h),
+q AS (SELECT min(k) / 10000::DOUBLE AS scale FROM c WHERE upto >= 0.99::DOUBLE * al)
+SELECT vec_id, list(round(greatest(-1, least(1, x / scale)) * 127)::TINYINT ORDER BY i)::VARCHAR AS q8 FROM x, q GROUP BY vec_id
 """)
 def q8_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = vc.quantize(F.col("dense"), F.lit(0.25))
+    """int8 codes, clipped at the 0.99 quantile of all components."""
+    points = vector_points(spark, sf_dir)
+    codes = vc.quantize(F.col("dense"), F.lit(vc.clip_scale(points, "dense")))
     shown = F.concat(F.lit("["), F.array_join(F.transform(codes, lambda x: x.cast("string")), ", "), F.lit("]"))
-    return vector_points(spark, sf_dir).select("vec_id", shown.alias("q8"))
+    return points.select("vec_id", shown.alias("q8"))
 
 
 # Facets.
@@ -210,6 +214,15 @@ def facets_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facet_counts.facets_report(declared, stored, 10)
 
 
+@query("""
+WITH m(key, meaning) AS (VALUES ('lang', 'The language'), ('team', 'Who owns it'))
+SELECT k.key, points, meaning FROM (SELECT unnest(['lang', 'source']) AS key, count(*)::BIGINT AS points FROM documents GROUP BY 1) k LEFT JOIN m USING (key)
+""")
+def facet_meanings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored keys with what the project says they mean."""
+    return facet_counts.with_meanings(facet_counts.facet_keys(doc_files(spark, sf_dir)), {"lang": "The language", "team": "Who owns it"})
+
+
 @query("SELECT doc_id FROM documents WHERE lang IN ('fr', 'de')")
 def facet_filter_include(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.filtered(doc_files(spark, sf_dir), {"lang": ["fr", "de"]}).select("doc_id")
@@ -290,10 +303,18 @@ def incremental_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.incremental(now, seen, max_bytes=20_000)
 
 
+@query(f"{PLAN} SELECT DISTINCT path FROM plan WHERE outcome NOT IN ('skip_stat', 'skip_large') OR path IN (SELECT path FROM f JOIN m USING (path) WHERE f.mtime != m.mtime)")
+def changed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a watcher hands on: files that differ from the ledger in any space."""
+    now, seen = ledger(spark, sf_dir)
+    both = lambda df: df.withColumn("space", F.explode(F.array(F.lit("docs"), F.lit("other"))))
+    return files.changed_paths(both(now), both(seen))
+
+
 @query(f"{PLAN} SELECT path FROM plan WHERE outcome = 'deleted'")
 def deleted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     now, seen = ledger(spark, sf_dir)
-    return seen.join(now, "path", "left_anti").select("path")
+    return files.deleted(now, seen).select("path")
 
 
 @query(f"{PLAN} SELECT path, outcome FROM plan WHERE path LIKE 'src3/%'")
@@ -303,9 +324,11 @@ def watch_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.incremental(now, seen, wanted, max_bytes=20_000)
 
 
-@query("SELECT source || '/' || doc_id || '.md' AS path, CASE WHEN n_chars > 8000 THEN 'skip_large' ELSE 'read' END AS outcome FROM documents")
+@query("SELECT source || '/' || doc_id || '.md' AS path, CASE WHEN n_chars > 8000 AND doc_id % 5 != 0 THEN 'skip_large' ELSE 'read' END AS outcome FROM documents")
 def size_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    large = (F.col("n_chars") * 1000 > tx.MAX_BYTES) & ~F.lit("markdown").eqNullSafe(F.lit("openapi"))
+    """Files against a cap of 8000; one in five is an OpenAPI file, which has none."""
+    language = F.when(F.col("doc_id") % 5 == 0, "openapi").otherwise("markdown")
+    large = files.too_large(F.col("n_chars"), language, 8000)
     return doc_files(spark, sf_dir).select("path", F.when(large, "skip_large").otherwise("read").alias("outcome"))
 
 
@@ -641,8 +664,10 @@ def rate_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_type, sum(value > 50)::BIGINT AS n_large, sum(1)::BIGINT AS n, bool_or(value > 200) AS stopped, count(*) FILTER (user_id = 7)::BIGINT AS n_errors FROM events GROUP BY event_type
 """)
 def merged_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select("event_type", (F.col("value") > 50).cast("long").alias("n_large"), F.lit(1).cast("long").alias("n"), (F.col("value") > 200).alias("stopped"), (F.col("user_id") == 7).cast("long").alias("n_errors"))
-    return rows.groupBy("event_type").agg(*(F.sum(c).alias(c) for c in ("n_large", "n", "n_errors")), F.bool_or("stopped").alias("stopped"))
+    """Events as runs' counters, merged by type."""
+    error = F.when(F.col("user_id") == 7, F.array(F.col("event_id").cast("string"))).otherwise(F.array().cast("array<string>"))
+    runs = table(spark, sf_dir, "events").select("event_type", (F.col("value") > 50).cast("long").alias("n_large"), F.lit(1).cast("long").alias("n"), (F.col("value") > 200).alias("stopped"), error.alias("errors"))
+    return events.merged_stats(runs, ["n_large", "n"], ["event_type"])
 
 
 NOW = "2024-01-20 00:00:00"
@@ -667,14 +692,13 @@ def schedule_due(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT source AS space, sum(ceil(n_chars / 2400))::BIGINT AS points FROM documents WHERE doc_id % 5 != 0 GROUP BY 1),
-m AS (SELECT source AS space, count(*)::BIGINT AS files, sum(n_chars)::BIGINT AS bytes, max(doc_id) AS indexed_at FROM documents WHERE lang = 'en' GROUP BY 1)
-SELECT space, coalesce(points, 0)::BIGINT AS points, coalesce(files, 0)::BIGINT AS files, coalesce(bytes, 0)::BIGINT AS bytes, indexed_at FROM p FULL JOIN m USING (space)
+SELECT coalesce(source, lang) AS space, sum(ceil(n_chars / 2400))::BIGINT AS points, count(*)::BIGINT AS files, sum(n_chars)::BIGINT AS bytes, max(doc_id) AS indexed_at FROM documents GROUP BY 1
 """)
 def space_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumnRenamed("source", "space")
-    points = docs.where("doc_id % 5 != 0").select("space", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("n_chars") / 2400))))
-    seen = docs.where("lang = 'en'").select("space", F.col("n_chars").alias("size"), F.col("doc_id").alias("indexed_at"))
+    """Sources as spaces: a point for every 2400 characters, a ledger row for every document."""
+    docs = table(spark, sf_dir, "documents").withColumn("space", F.coalesce("source", "lang"))
+    points = docs.select("space", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("n_chars") / 2400))))
+    seen = docs.select("space", F.col("n_chars").alias("size"), F.col("doc_id").alias("indexed_at"))
     return events.space_overview(points, seen)
 
 
@@ -694,11 +718,11 @@ def group_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.group_timings(rows)
 
 
-@query("SELECT DISTINCT source || '/' || lang AS key FROM documents WHERE lang IN ('en', 'fr') UNION SELECT source || '/' || lang FROM documents WHERE doc_id % 3 = 0")
+@query("SELECT source || '/' || lang AS key FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL UNION SELECT lang FROM documents WHERE lang IS NOT NULL")
 def keep_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corpus keys that any space still needs."""
-    docs = table(spark, sf_dir, "documents").withColumn("key", F.concat_ws("/", "source", "lang"))
-    return docs.where("lang IN ('en', 'fr')").select("key").union(docs.where("doc_id % 3 = 0").select("key")).distinct()
+    """Corpus keys that any of two spaces still needs."""
+    docs = table(spark, sf_dir, "documents")
+    return files.kept_keys(docs.select(F.concat("source", F.lit("/"), "lang").alias("key")).where("key IS NOT NULL"), docs.select(F.col("lang").alias("key")).where("key IS NOT NULL"))
 
 
 @query("SELECT doc_id, text FROM documents WHERE doc_id % 3 != 0 UNION ALL SELECT doc_id, upper(lang) FROM documents WHERE doc_id % 3 = 0")
@@ -709,15 +733,14 @@ def upsert_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.upsert(rows, new, new.select("path")).select("doc_id", "text")
 
 
-@query()
+@query("SELECT user_id AS point_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
 def stream_watch_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream of writes, upserted by user in micro-batches: each user's last event stays."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-")
-    work = f"{folder.rstrip('/')}/lodestone/stream-{uuid.uuid4().hex}"
+    work = f"{shared_folder(spark)}/lodestone/stream-{uuid.uuid4().hex}"
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("point_id"), "ts", "event_type", "event_id")
     rows.write.parquet(f"{work}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{work}/in")
-    target = Table(spark, f"{work}/points")
+    target = Table(spark, f"{work}/points", ("point_id",))
 
     def last(batch: DataFrame, number: int) -> None:
         newest = batch.groupBy("point_id").agg(F.max_by(F.struct("ts", "event_type", "event_id"), F.struct("ts", "event_id")).alias("r"))

@@ -118,3 +118,55 @@ def test_schedule(spark):
     assert {n: s.get("result") for n, s in state.items()} == {"a": "error", "b": "busy", "c": None, "d": "ok"}
     assert state["b"]["last_finish"] == datetime(2024, 5, 1, 9) and state["a"]["last_finish"] == now
     assert {r.name for r in schedule.failures(schedule.state_frame(spark, state)).collect()} == {"a", "b"}
+
+
+def test_queries_are_encoded_as_queries():
+    class Both:
+        def embed(self, texts, query=False):
+            return [[float(query), float(len(t))] for t in texts]
+
+    assert models.query_vector(Both(), "abc") == [1.0, 3.0]
+
+
+def test_a_reranker_is_made_once_per_task(spark, tmp_path):
+    marks = str(tmp_path)
+
+    def make():
+        import uuid
+        from pathlib import Path
+
+        (Path(marks) / uuid.uuid4().hex).touch()
+        return lambda query, texts: [float(len(t)) for t in texts]
+
+    rows = spark.createDataFrame([(i, "x" * (i % 7)) for i in range(2000)], "id long, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = rows.select("id", models.reranker(make, "q")(rows).alias("s")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert all(r.s == r.id % 7 for r in got) and len(list(tmp_path.iterdir())) == 1
+
+
+def test_merged_runs_errors_and_snapshots(spark):
+    from lodestone.operators import events
+
+    runs = spark.createDataFrame([("a", 1, False, ["x", "y"]), ("a", 2, True, []), ("b", 5, False, None)], "kind string, files long, stopped boolean, errors array<string>")
+    whole = events.merged_stats(runs, ["files"]).first()
+    assert (whole.files, whole.stopped, whole.n_errors) == (8, True, 2)
+    assert {(r.kind, r.files) for r in events.merged_stats(runs, ["files"], ["kind"]).collect()} == {("a", 3), ("b", 5)}
+    assert sorted((r.kind, r.error) for r in events.run_errors(runs, ["kind"]).collect()) == [("a", "x"), ("a", "y")]
+    windows = spark.createDataFrame([("k", 1, 5), ("k", 3, 9)], "key string, requests long, weight long")
+    assert tuple(events.rate_snapshot(windows, ["key"]).first()) == ("k", 2, 3, 9)
+
+
+def test_clip_scale(spark):
+    import numpy as np
+
+    from lodestone.functions.vectors import clip_scale
+
+    rnd = np.random.default_rng(1)
+    xs = rnd.normal(0, 0.1, (300, 16))
+    got = clip_scale(spark.createDataFrame([(x.tolist(),) for x in xs], "v array<double>"), "v")
+    exact = np.quantile(np.abs(xs), 0.99, method="inverted_cdf")
+    assert exact <= got <= exact + 1e-4
