@@ -22,7 +22,7 @@ from lodestone.llm.common import cut, map_texts
 
 #: Labelled rows for the fit: those of the smallest hashes of their ids, so many at most.
 LABELLED_ROWS = 12_000
-#: Stems kept for the logistic model, and the labelled documents that one needs.
+#: Stems kept for the logistic model (its size, whatever the corpus's), and the labelled documents that one needs.
 STEMS, SUPPORT = 512, 4
 MEMORY = 300_000
 #: What a character may stand for, beside itself.
@@ -187,6 +187,23 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 300, ridge: float = 0.05) ->
     return w.astype(float), b
 
 
+def _remainder():
+    return F.crc32(F.encode(F.col("id").cast("string"), "utf-8")) % 5
+
+
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, labelled_rows: int) -> tuple[np.ndarray, dict[str, int], np.ndarray, float]:
+    """The character model, and the classifier's stems, weights and base. Of rows that share an id, the least text is fitted."""
+    counted = cut(trigram_counts(docs, text_col))
+    grams = counted.collect()
+    model = trigram_model(np.array([r.gram for r in grams], np.int64), np.array([r.n for r in grams], float))
+    truth = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
+    truth = truth.where(_remainder() != 0).groupBy("id").agg(F.max("y").alias("y"))
+    truth = truth.orderBy(F.xxhash64("id"), "id").limit(labelled_rows)
+    named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sample = cut(named.join(F.broadcast(truth), "id").groupBy("id").agg(F.first("y").alias("y"), F.min("text").alias("text")).select("y", "text"))
+    return model, *_classifier(sample, model)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled_rows: int = LABELLED_ROWS) -> DataFrame:
     """One row per row of docs: id, held_out, score, predicted.
 
@@ -195,16 +212,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     (the bound of this classifier); the character model counts all texts. Null texts are empty; without words the score
     is the fitted base rate; without labels it is 0. A null id counts as held out. An empty table gives no rows.
     """
-    remainder = F.crc32(F.encode(F.col("id").cast("string"), "utf-8")) % 5
-    counted = cut(trigram_counts(docs, text_col))
-    grams = counted.collect()
-    model = trigram_model(np.array([r.gram for r in grams], np.int64), np.array([r.n for r in grams], float))
-    truth = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
-    truth = truth.where(remainder != 0).groupBy("id").agg(F.max("y").alias("y"))
-    truth = truth.orderBy(F.xxhash64("id"), "id").limit(labelled_rows)
+    model, stems, weights, base = fitted(docs, labels, id_col, text_col, label_col, labelled_rows)
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = cut(named.join(F.broadcast(truth), "id").select("y", F.coalesce("text", F.lit("")).alias("text")))
-    stems, weights, base = _classifier(sample, model)
 
     def work(texts: list[str]):
         memory, known = _memory(zlib.crc32(model.tobytes()))
@@ -225,7 +234,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     scored = map_texts(named, "text", ["id"], [T.StructField("score", T.DoubleType())], work)
     return scored.select(
         F.col("id").alias(id_col),
-        F.coalesce(remainder == 0, F.lit(True)).alias("held_out"),
+        F.coalesce(_remainder() == 0, F.lit(True)).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )

@@ -235,6 +235,22 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.toxicity(table(spark, []), truth).count() == 0
 
 
+def test_toxicity_scores_equal_brute_force(spark, docs, sf_dir):
+    """Every score from the fitted models, restored word by restored word; repeated ids don't pass the bound of the fit."""
+    truth = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model, stems, weights, base = toxicity.fitted(docs, truth, "doc_id", "text", "toxic", 100)
+    want = {}
+    for r in docs.collect():
+        words = toxicity.words_of(r.text or "", model, {})
+        hit = {s for w in words for s in toxicity.stems_of(w) if s in stems}
+        want[r.doc_id] = 1 / (1 + np.exp(-(base + sum(weights[stems[s]] for s in sorted(hit)))))
+    got = toxicity.toxicity(docs, truth, labelled_rows=100).collect()
+    assert all(abs(r.score - want[r.doc_id]) < 1e-9 for r in got)
+    twice = docs.unionByName(docs).unionByName(docs)
+    again = toxicity.fitted(twice, truth, "doc_id", "text", "toxic", 100)
+    assert again[1].keys() == stems.keys() and np.allclose(again[2], weights)
+
+
 def test_every_known_licence_has_an_anchor():
     texts = [t for _, t in licenses._notices() + licenses._texts()]
     assert len(licenses.known()) < 2000 and len(licenses.runs()) > 20
