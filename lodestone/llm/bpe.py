@@ -38,6 +38,25 @@ def byte_letters() -> dict[str, int]:
     return out
 
 
+def merge_order(spec: dict) -> list[bytes]:
+    """Tokens of a tokenizers file by rank: single bytes by their ids, then what each merge makes, in the file's order."""
+    letters = byte_letters()
+    raw = lambda token: bytes(letters[c] for c in token)
+    single = sorted((i, raw(t)) for t, i in spec["model"]["vocab"].items() if len(t) == 1)
+    return [*(t for _, t in single), *(b"".join(map(raw, m if isinstance(m, list) else m.split(" "))) for m in spec["model"]["merges"])]
+
+
+def merge_bytes(fragment: bytes, rank: dict[bytes, int]) -> list[int]:
+    """Ranks of a fragment's tokens: the adjacent pair of least rank, leftmost first, is merged until none is known."""
+    parts = [fragment[i : i + 1] for i in range(len(fragment))]
+    while len(parts) > 1:
+        best, at = min((rank.get(a + b, len(rank)), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+        if best == len(rank):
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return [rank[p] for p in parts]
+
+
 class Piece(NamedTuple):
     """What one piece of text becomes: ids, the same as decimal text, and the bytes that the ids decode to."""
 
@@ -76,14 +95,19 @@ class ForcedBpe:
         letters = byte_letters()
         raw = lambda token: bytes(letters[c] for c in token)
         self.ids = {raw(t): i for t, i in spec["model"]["vocab"].items()}
-        merged = [b"".join(map(raw, m if isinstance(m, list) else m.split(" "))) for m in spec["model"]["merges"]]
-        order = [*sorted((t for t in self.ids if len(t) == 1), key=self.ids.__getitem__), *merged]
-        core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={t: r for r, t in enumerate(order)}, special_tokens={})
+        order = merge_order(spec)
+        rank = {t: r for r, t in enumerate(order)}
         by_rank = [self.ids[t] for t in order]
-        one = core._core_bpe.encode_single_piece
+        try:
+            # tiktoken's merge routine isn't part of its public interface; without it the merges are made here.
+            one = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=rank, special_tokens={})._core_bpe.encode_single_piece
+        except AttributeError:
+            one = lambda fragment: merge_bytes(fragment, rank)
         #: Ids of one fragment: the merge of least rank, leftmost first, until none applies.
         self.merge = one if by_rank == list(range(len(order))) else lambda fragment: [by_rank[r] for r in one(fragment)]
         self.token = {i: t for t, i in self.ids.items()}
+        if any(t.get(flag) for t in spec.get("added_tokens", []) for flag in ("lstrip", "rstrip", "single_word")):
+            raise ValueError(f"{path}: special tokens that take in what is around them aren't supported")
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         for content, i in self.special.items():
             self.token[i] = content.encode()

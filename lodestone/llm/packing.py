@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.bpe import PATTERN, byte_letters
+from lodestone.llm.bpe import PATTERN, byte_letters, merge_order
 from lodestone.llm.common import cut, map_texts
 
 LENGTH, END = 1024, 0
@@ -74,10 +74,14 @@ class Ids:
         letters = byte_letters()
         ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        # Only where ids follow the order of merges are they ranks; any other file is left to the tokenizer.
+        order = merge_order(spec)
+        self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if [ranks[t] for t in order] == list(range(len(order))) else None
         self.same, self.other = {chr(c) for c in range(128)}, set()
 
     def __call__(self, text: str) -> np.ndarray:
+        if self.fast is None:
+            return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
         if not text.isascii():
             for c in set(text) - self.same - self.other:
                 probe = f"a{c}1{c}!{c}{c}b {c}"

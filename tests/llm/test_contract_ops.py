@@ -453,6 +453,30 @@ def test_bpe_equals_tokenizers_on_odd_texts():
     assert own.decode([447, 247, 8582]) == t.decode([447, 247, 8582], skip_special_tokens=False)
 
 
+def test_merges_made_here_equal_the_library(tmp_path):
+    import json
+
+    own = bpe.ForcedBpe(tokenizer_path())
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    rank = {t: r for r, t in enumerate(bpe.merge_order(spec))}
+    rnd = random.Random(3)
+    for word in ["hello", "thqzxv", "aaaaaaaaaa", *("".join(rnd.choice("abcdeé日 ") for _ in range(rnd.randint(1, 14))) for _ in range(200))]:
+        made = bpe.merge_bytes(word.encode(), rank)
+        assert made == [rank[own.token[i]] for i in own.merge(word.encode())]
+    # A file whose ids aren't in the order of merges: both encoders follow the tokenizer.
+    vocab = spec["model"]["vocab"]
+    a, b = (next(t for t, i in vocab.items() if i == k) for k in (300, 301))
+    vocab[a], vocab[b] = vocab[b], vocab[a]
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec), encoding="utf-8")
+    from tokenizers import Tokenizer
+
+    t, text = Tokenizer.from_file(str(other)), "the other words in there and then some more of them, hello"
+    want = t.encode(text, add_special_tokens=False).ids
+    assert bpe.ForcedBpe(str(other)).encode(text) == want and packing.Ids(str(other))(text).tolist() == want
+
+
 def test_memory_keeps_what_is_used():
     m = bpe.Memory(2)
     for k in "abc":
