@@ -27,7 +27,7 @@ def _labelled(files: DataFrame, spark: SparkSession, project: Project) -> DataFr
     won = claim(files, groups_table(spark, project))
     language = F.when(F.col("kind") == "openapi", "openapi").otherwise(tx.language(F.col("path")))
     won = won.withColumn("language", language).where("language IS NOT NULL").withColumnRenamed("group_facets", "facets")
-    models = F.create_map(*(F.lit(x) for n, s in project.spaces.items() for x in (n, f"{s.dense.model}/{s.sparse.model}/{s.chunk.max_chars}")))
+    models = F.create_map(*(F.lit(x) for n, s in project.spaces.items() for x in (n, f"{s.dense.model}/{s.sparse.model}/{s.chunk.max_chars}/{s.dimensions or 0}")))
     return won.withColumn("model", F.element_at(models, F.col("space"))).drop("kind")
 
 
@@ -58,8 +58,8 @@ def chunks_of_path(spark: SparkSession, root: str, project: Project, rel: str) -
     return reduce(DataFrame.unionByName, (points_of(files.where(F.col("space") == n), s.chunk.max_chars, s.chunk.min_chars) for n, s in project.spaces.items())).orderBy("space", "start_byte", "end_byte")
 
 
-def points_of(files: DataFrame, max_chars: int, min_chars: int, embed: Embed | None = None, budget: int = CONTEXT_CHARS) -> DataFrame:
-    """Points of claimed files. The id is that of path, bytes and ordinal, so that parts of one span stay apart."""
+def points_of(files: DataFrame, max_chars: int, min_chars: int, embed: Embed | None = None, budget: int = CONTEXT_CHARS, dimensions: int | None = None) -> DataFrame:
+    """Points of claimed files; with dimensions, a vector of another length is an error. The id is that of path, bytes and ordinal, so that parts of one span stay apart."""
     made = chunk_files(files.select("space", "path", "language", "facets", F.col("name").alias("grp"), "priority", "text"), max_chars, min_chars, budget).where("error IS NULL")
     own = fc.with_facet(fc.merged(F.col("facets"), F.col("chunk_facets")), "group", F.array("grp"))
     key = F.concat_ws(":", F.col("space"), F.col("path"), F.col("start_byte").cast("string"), F.col("end_byte").cast("string"), F.col("ordinal").cast("string"))
@@ -67,6 +67,9 @@ def points_of(files: DataFrame, max_chars: int, min_chars: int, embed: Embed | N
     header = tx.embed_text(F.col("path"), F.col("symbol"), F.col("kind"), F.col("heading_path"), F.col("facets"), F.col("text"))
     inputs = rows.select("point_id", header.alias("embed_text"))
     vectors = embed(inputs) if embed else hash_embeddings(inputs, ["point_id"], "embed_text")
+    if dimensions:
+        wrong = F.raise_error(F.concat(F.lit(f"the model gives vectors of other than {dimensions} numbers: "), F.size("dense").cast("string")))
+        vectors = vectors.withColumn("dense", F.when(F.size("dense") != dimensions, wrong.cast("array<float>")).otherwise(F.col("dense")))
     return rows.join(vectors, "point_id", "left").select(*POINT)
 
 
@@ -130,7 +133,7 @@ class Index:
         if counts.keys() & {"new", "changed", "deleted"}:
             todo = claimed_files(self.spark, root, project, skip).join(plan.where("outcome IN ('new', 'changed')").select("space", "path", "model"), ["space", "path", "model"], "left_semi")
             texts = with_texts(todo, root).where("error IS NULL").drop("error")
-            fresh = reduce(DataFrame.unionByName, (points_of(texts.where(F.col("space") == n), s.chunk.max_chars, s.chunk.min_chars, embed) for n, s in project.spaces.items()))
+            fresh = reduce(DataFrame.unionByName, (points_of(texts.where(F.col("space") == n), s.chunk.max_chars, s.chunk.min_chars, embed, dimensions=s.dimensions) for n, s in project.spaces.items()))
             self._rewrite(self.points, fresh.select(*POINT), touched)
         seen = plan.where("outcome IN ('new', 'changed', 'skip_hash')")
         if counts.keys() & {"new", "changed", "deleted", "skip_hash"} or rebuild:

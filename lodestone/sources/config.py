@@ -12,6 +12,7 @@ from pathlib import Path
 from pydantic import BaseModel, ConfigDict, Field, field_validator, model_validator
 from pydantic.alias_generators import to_camel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.functions.facets import check_not_reserved, normalize
 from lodestone.sources.globs import to_regex
@@ -174,6 +175,14 @@ def unknown_filter(project: Project, groups: Sequence[str] = (), spaces: Sequenc
     return bad[0] if bad else None
 
 
+def selected(claimed: DataFrame, project: Project, groups: Sequence[str] = (), spaces: Sequence[str] = ()) -> DataFrame:
+    """Claimed files of any of the groups and any of the spaces; none given means all. An unknown name is an error that names it."""
+    if fault := unknown_filter(project, groups, spaces):
+        raise ConfigError(fault)
+    rows = claimed.where(F.col("name").isin(*groups)) if groups else claimed
+    return rows.where(F.col("space").isin(*spaces)) if spaces else rows
+
+
 def nearest_project(projects: Sequence[dict], path: str) -> dict | None:
     """The registered project whose root is path or the nearest folder above it."""
     at = Path(path).resolve()

@@ -179,6 +179,44 @@ def test_query_plans(spark, root, tmp_path):
     assert [tuple(r) for r in query.facets(points, project, "code", "part").collect()] == [("lib", 2)]
 
 
+def test_search_over_projects(spark, root, tmp_path):
+    project = parse(PROJECT)
+    one, two, broken = (Index(spark, str(tmp_path / n)) for n in ("one", "two", "broken"))
+    one.run(str(root), project)
+    broken.run(str(root), project)
+    (tmp_path / "broken" / "points" / "CURRENT").write_text("junk")
+    for f in (tmp_path / "broken" / "points").glob(".CURRENT.crc"):
+        f.unlink()
+    known = {"one": (one, project), "two": (two, project), "broken": (broken, project), "again": (one, project)}
+    vector = list(one.points.read().where("path = 'a.md' AND space = 'docs'").first().dense)
+    answer = query.search_projects(known, ["one", "two", "broken", "again"], "index folder", vector, limit=3)
+    hits = answer.hits.collect()
+    assert [h.project for h in hits[:2]] == ["again", "one"] and hits[0].path == "a.md" and len(hits) == 3 and answer.hint is None
+    assert answer.failed["two"] == "not indexed yet" and "pointer" in answer.failed["broken"]
+    none = query.search_projects(known, ["one"], "zzzzqq", sparse=True)
+    assert none.hint == query.NO_HITS and none.hits.count() == 0
+    assert query.search_projects(known, ["two"], "x", vector).hits is None
+    with pytest.raises(query.QueryError, match="unknown project: nope; known: again, broken, one, two"):
+        query.search_projects(known, ["nope"], "x", vector)
+    listed = {r.key: r.meaning for r in query.facets(one.points.read(), project, meanings={"team": "Who owns it", "gone": "-"}).collect()}
+    assert listed["team"] == "Who owns it" and listed["group"] is None and "gone" not in listed
+
+
+def test_selection_and_dimensions(spark, root, tmp_path):
+    from lodestone.sources.config import selected
+
+    project = parse(PROJECT)
+    claimed = claimed_files(spark, str(root), project)
+    assert {r.path for r in selected(claimed, project, ["src"]).collect()} == {"src/x.ts", "src/y.py"}
+    assert {r.space for r in selected(claimed, project, spaces=["docs"]).collect()} == {"docs"}
+    assert selected(claimed, project, ["src"], ["docs"]).count() == 0
+    with pytest.raises(ConfigError, match="unknown group: nope"):
+        selected(claimed, project, ["src", "nope"])
+    other = parse(PROJECT.replace('{"model": "hash"}}}', '{"model": "hash"}, "dimensions": 32}}'))
+    with pytest.raises(Exception, match="other than 32 numbers"):
+        Index(spark, str(tmp_path / "store")).run(str(root), other)
+
+
 def test_tables(spark, tmp_path):
     t = Table(spark, str(tmp_path / "t"))
     assert t.read() is None
