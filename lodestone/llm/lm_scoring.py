@@ -33,6 +33,8 @@ BATCH, RATE = 2048, 1.0
 TOP_PER_BIT, RARE_PER_BIT, LEAST_TOP, LEAST_RARE = 16, 4, 159, 32
 #: Words, at most, whose counts travel with the tasks; the counts of all others are joined.
 HEAD = 200_000
+#: Words that a task remembers.
+REMEMBERED = 600_000
 #: Tokens of a shard at least, and tokens between two looks at a shard's rows.
 SHARD, CHUNK = 500_000, 64 * BATCH
 #: One text in so many is held out; splits of the shards, one a round; a round's share of the loss below which it has settled; rounds at most.
@@ -158,18 +160,20 @@ def padded(codes: np.ndarray, sizes: np.ndarray, pad: int) -> tuple[np.ndarray,
     return row, places
 
 
-def _log_softmax(logits: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The own entries' log-probabilities, and all probabilities (in place of logits)."""
-    logits -= logits.max(axis=1, keepdims=True)
+def _softmax(logits: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The own entries' log-probabilities, and all terms (in place of logits) with their sums behind them.
+
+    Hidden units lie within 1, so logits stay far below where exp overflows; capping them guards a model that diverges.
+    """
     mine = logits[np.arange(len(own)), own]
+    np.minimum(logits, 60, out=logits)
     np.exp(logits, out=logits)
-    sums = logits.sum(axis=1, keepdims=True)
-    logits /= sums
-    return mine - np.log(sums[:, 0]), logits
+    sums = logits @ np.ones(logits.shape[1], logits.dtype)
+    return np.minimum(mine, 60) - np.log(sums), sums
 
 
 class Step(NamedTuple):
-    """A batch, ordered by the groups of its tokens' classes: order of its places, neighbours, layers and probabilities."""
+    """A batch, ordered by the groups of its tokens' classes: order of its places, neighbours, hidden layer, and terms with their sums."""
 
     order: np.ndarray
     near: list[np.ndarray]
@@ -180,6 +184,8 @@ class Step(NamedTuple):
     log_prob: np.ndarray
     top: np.ndarray
     leaf: np.ndarray
+    top_sums: np.ndarray
+    leaf_sums: np.ndarray
 
 
 def forward(p: Params, row: np.ndarray, at: np.ndarray) -> Step:
@@ -196,9 +202,9 @@ def forward(p: Params, row: np.ndarray, at: np.ndarray) -> Step:
     for g, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
         if a < b:
             leaf[a:b] += hidden[a:b] @ p["leaf"][g]
-    first, top = _log_softmax(top, group)
-    second, leaf = _log_softmax(leaf, slot)
-    return Step(order, near, hidden, group, slot, ends, first + second, top, leaf)
+    first, top_sums = _softmax(top, group)
+    second, leaf_sums = _softmax(leaf, slot)
+    return Step(order, near, hidden, group, slot, ends, first + second, top, leaf, top_sums, leaf_sums)
 
 
 def train(p: Params, row: np.ndarray, places: np.ndarray, rate: float = RATE) -> None:
@@ -207,14 +213,16 @@ def train(p: Params, row: np.ndarray, places: np.ndarray, rate: float = RATE) ->
         s = forward(p, row, places[i : i + BATCH])
         each = np.arange(len(s.order))
         step = p["hidden"].dtype.type(rate * min(1.0, len(each) / BATCH) / len(each))
-        s.top[each, s.group] -= 1
-        s.leaf[each, s.slot] -= 1
+        for terms, sums, own in ((s.top, s.top_sums, s.group), (s.leaf, s.leaf_sums, s.slot)):
+            terms *= (1 / sums)[:, None]
+            terms[each, own] -= 1
         back = s.top @ p["top"].T
         for g, (a, b) in enumerate(zip(s.ends, s.ends[1:], strict=False)):
             if a < b:
                 back[a:b] += s.leaf[a:b] @ p["leaf"][g].T
                 p["leaf"][g] -= step * (s.hidden[a:b].T @ s.leaf[a:b])
-                p["leaf_bias"][g] -= step * s.leaf[a:b].sum(axis=0)
+        some = [g for g, (a, b) in enumerate(zip(s.ends, s.ends[1:], strict=False)) if a < b]
+        p["leaf_bias"][some] -= step * np.add.reduceat(s.leaf, [s.ends[g] for g in some], axis=0)
         p["top"] -= step * (s.hidden.T @ s.top)
         p["top_bias"] -= step * s.top.sum(axis=0)
         back *= 1 - s.hidden * s.hidden
@@ -292,9 +300,10 @@ def mean_loss(coded: DataFrame, model: Params, pad: int) -> float | None:
 
 
 def trained(coded: DataFrame, start: Params, splits: int, pad: int) -> tuple[Params, list[float]]:
-    """The model, and the held-out loss before and after each round: over all splits at least, then until the loss settles.
+    """The model, and the held-out losses of the start and of the models from the last but one round of the first pass on.
 
-    Texts are held out by hash; a corpus too small to have any is judged by its own loss.
+    Rounds go over all splits, then on until the loss settles. Texts are held out by hash; a corpus too small to have any is judged by
+    its own loss.
     """
     held, own = coded.where("held"), coded.where("NOT held")
     loss = mean_loss(held, start, pad)
@@ -305,7 +314,8 @@ def trained(coded: DataFrame, start: Params, splits: int, pad: int) -> tuple[Par
     model, losses = start, [loss]
     for t in range(MOST_ROUNDS):
         model = one_round(own.where(F.col("split") == t % splits), model, pad)
-        losses.append(mean_loss(held, model, pad))
+        if t + 2 >= splits:
+            losses.append(mean_loss(held, model, pad))
         if t + 1 >= splits and losses[-2] - losses[-1] < SETTLED * losses[-2]:
             break
     return model, losses
@@ -321,18 +331,28 @@ def coded_texts(named: DataFrame, top: list[str], rare: int, totals: np.ndarray,
 
     def code(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(top, rare)
+        # Of each word met: its class, units of log p(word | class), and whether it is outside head.
+        seen: dict[str, int] = {}
+        known = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
         for part in parts:
             for piece in text_slices(part, 3):
                 words, at, sizes = words_of(piece.column(3))
                 plain = words.to_pylist()
-                classes = np.array([tokens.of(w) for w in plain], np.int64)
-                counts = np.array([head.get(w, 0) for w in plain], np.int64)
-                inside = np.round((np.log(np.maximum(counts, 1)) - log_totals[classes]) * SCALE).astype(np.int64)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                    known = [k[:0] for k in known]
+                fresh = [w for w in plain if w not in seen]
+                seen.update(zip(fresh, range(len(seen), len(seen) + len(fresh)), strict=True))
+                classes = np.array([tokens.of(w) for w in fresh], np.int64)
+                counts = np.array([head.get(w, 0) for w in fresh], np.int64)
+                units = np.round((np.log(np.maximum(counts, 1)) - log_totals[classes]) * SCALE).astype(np.int64)
+                known = [np.concatenate(pair) for pair in zip(known, (classes, units, counts == 0), strict=True)]
+                classes, inside, outside = (k[np.fromiter(map(seen.__getitem__, plain), np.int64, len(plain))] for k in known)
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 sums = np.concatenate([[0], np.cumsum(inside[at])])[ends]
                 codes = classes[at].astype(CODE)
                 packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((ends * codes.itemsize).astype(np.int32)), pa.py_buffer(codes)])
-                far = np.flatnonzero(counts[at] == 0)
+                far = np.flatnonzero(outside[at])
                 others = pa.ListArray.from_arrays(pa.array(np.searchsorted(far, ends), pa.int32()), words.take(pa.array(at[far])))
                 yield pa.RecordBatch.from_arrays([*(piece.column(k) for k in range(3)), packed, pa.array(sums[1:] - sums[:-1]), others], schema.names)
 
