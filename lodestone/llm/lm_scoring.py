@@ -33,8 +33,6 @@ BATCH, RATE = 2048, 1.0
 TOP_PER_BIT, RARE_PER_BIT, LEAST_TOP, LEAST_RARE = 16, 4, 159, 32
 #: Words, at most, whose counts travel with the tasks; the counts of all others are joined.
 HEAD = 200_000
-#: Words that a task remembers.
-REMEMBERED = 600_000
 #: Tokens of a shard at least, and tokens between two looks at a shard's rows.
 SHARD, CHUNK = 500_000, 64 * BATCH
 #: One text in so many is held out; splits of the shards, one a round; a round's share of the loss below which it has settled; rounds at most.
@@ -331,28 +329,18 @@ def coded_texts(named: DataFrame, top: list[str], rare: int, totals: np.ndarray,
 
     def code(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(top, rare)
-        # Of each word met: its class, units of log p(word | class), and whether it is outside head.
-        seen: dict[str, int] = {}
-        known = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
         for part in parts:
             for piece in text_slices(part, 3):
                 words, at, sizes = words_of(piece.column(3))
                 plain = words.to_pylist()
-                if len(seen) > REMEMBERED:
-                    seen.clear()
-                    known = [k[:0] for k in known]
-                fresh = [w for w in plain if w not in seen]
-                seen.update(zip(fresh, range(len(seen), len(seen) + len(fresh)), strict=True))
-                classes = np.array([tokens.of(w) for w in fresh], np.int64)
-                counts = np.array([head.get(w, 0) for w in fresh], np.int64)
-                units = np.round((np.log(np.maximum(counts, 1)) - log_totals[classes]) * SCALE).astype(np.int64)
-                known = [np.concatenate(pair) for pair in zip(known, (classes, units, counts == 0), strict=True)]
-                classes, inside, outside = (k[np.fromiter(map(seen.__getitem__, plain), np.int64, len(plain))] for k in known)
+                classes = np.fromiter(map(tokens.of, plain), np.int64, len(plain))
+                counts = np.array([head.get(w, 0) for w in plain], np.int64)
+                inside = np.round((np.log(np.maximum(counts, 1)) - log_totals[classes]) * SCALE).astype(np.int64)
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 sums = np.concatenate([[0], np.cumsum(inside[at])])[ends]
                 codes = classes[at].astype(CODE)
                 packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((ends * codes.itemsize).astype(np.int32)), pa.py_buffer(codes)])
-                far = np.flatnonzero(outside[at])
+                far = np.flatnonzero(counts[at] == 0)
                 others = pa.ListArray.from_arrays(pa.array(np.searchsorted(far, ends), pa.int32()), words.take(pa.array(at[far])))
                 yield pa.RecordBatch.from_arrays([*(piece.column(k) for k in range(3)), packed, pa.array(sums[1:] - sums[:-1]), others], schema.names)
 
