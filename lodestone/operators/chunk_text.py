@@ -57,13 +57,34 @@ def split_text(text: str, limit: int, overlap: int = OVERLAP) -> list[tuple[int,
     return [(starts[a], text[starts[a] : starts[b]]) for a, b in line_windows(lines, limit, overlap)]
 
 
+def n_bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
+class Places:
+    """Line and byte of places in a text, which are asked for in order, so that each character is counted once."""
+
+    def __init__(self, text: str, line: int = 1, byte: int = 0):
+        self.text, self.at, self.line, self.byte = text, 0, line, byte
+
+    def of(self, at: int) -> tuple[int, int]:
+        if at < self.at:
+            back = self.text[at : self.at]
+            self.line, self.byte = self.line - back.count("\n"), self.byte - n_bytes(back)
+        else:
+            between = self.text[self.at : at]
+            self.line, self.byte = self.line + between.count("\n"), self.byte + n_bytes(between)
+        self.at = at
+        return self.line, self.byte
+
+
 def chunk_lines(text: str, limit: int, kind: str = "file", symbol: str | None = None, line: int = 1, byte: int = 0) -> list[Piece]:
     """Line windows of text, which starts at line and byte of its file."""
     out = []
+    places = Places(text, line, byte)
     for at, part in split_text(text, limit):
-        first = line + text.count("\n", 0, at)
-        start = byte + len(text[:at].encode("utf-8", "surrogatepass"))
-        size = len(part.encode("utf-8", "surrogatepass"))
+        first, start = places.of(at)
+        size = n_bytes(part)
         out.append(Piece(kind, symbol, None, first, first + part.count("\n"), start, start + size, part))
     return out
 
@@ -208,6 +229,7 @@ def lead_in(x: Spoken, part: int, text: str) -> list[str]:
 def chunk_markdown(text: str, limit: int) -> list[Piece]:
     """Sections with their breadcrumbs; chat turns carry facets and repeat the question they answer."""
     out: list[Piece] = []
+    places = Places(text)
     for x in conversation(sections(text)):
         s, turn = x.section, x.turn
         kind, path, facets = ("heading" if s.title else "prose"), s.title, {}
@@ -216,7 +238,7 @@ def chunk_markdown(text: str, limit: int) -> list[Piece]:
             kind, symbol = "turn", turn.preview or symbol
             path = " > ".join(filter(None, [x.topic, turn.label]))
             facets = {"at": [turn.at], "day": [turn.at[:10]], "role": [turn.role]}
-        byte = len(text[: s.start].encode("utf-8", "surrogatepass"))
+        byte = places.of(s.start)[1]
         for k, piece in enumerate(chunk_lines(s.body, limit, kind, symbol, s.line, byte)):
             body = "\n\n".join([*lead_in(x, k, piece.text), piece.text])
             out.append(replace(piece, heading_path=path, facets=facets, text=body))
@@ -230,7 +252,7 @@ def halves(piece: Piece, budget: int) -> list[Piece]:
     mid = len(piece.text) // 2
     cut = piece.text.rfind("\n", 1, mid) + 1 or mid
     head, tail = piece.text[:cut], piece.text[cut:]
-    line, byte = piece.start_line + head.count("\n"), piece.start_byte + len(head.encode("utf-8", "surrogatepass"))
+    line, byte = piece.start_line + head.count("\n"), piece.start_byte + n_bytes(head)
     first = replace(piece, text=head, end_line=line, end_byte=min(byte, piece.end_byte))
     second = replace(piece, text=tail, start_line=min(line, piece.end_line), start_byte=min(byte, piece.end_byte))
     return halves(first, budget) + halves(second, budget)

@@ -67,8 +67,9 @@ def _content(content: object) -> list[str]:
         body = _mapping(body)
         fields = _mapping(_mapping(body.get("schema")).get("properties"))
         out += _table(("Field", "Type", "Description"), [(k, _mapping(v).get("type"), _mapping(v).get("description")) for k, v in fields.items()])
-        for example in _mapping(body.get("examples")).values():
-            example = _mapping(example)
+        examples = _mapping(body.get("examples"))
+        out += ["Examples", ""] if examples else []
+        for example in map(_mapping, examples.values()):
             out += [_text(example.get("description")), "", "```json", json.dumps(example.get("value"), indent=2, ensure_ascii=False, default=str), "```", ""]
     return out
 

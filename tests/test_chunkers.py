@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -116,6 +117,44 @@ def test_typescript():
         assert TS.encode()[p.start_byte : p.end_byte].decode() == p.text
 
 
+ODD_TS = r"""const brace = /[/}]{2}\/\{/g;
+
+export function half(a: number, b: number) { return a / 2 / b; }
+
+function strip(s: string) {
+  return s.replace(/\/\*.*"/, "").split(`}${[1].map((x) => `{${x / 2}}` + "}").join("`")}`);
+}
+
+const arrow = (s: string) => /`{/.test(s);
+
+export class Last { m() { return typeof /'/; } }
+"""
+
+
+def test_patterns_and_nested_templates():
+    made = pieces_of("o.ts", "typescript", ODD_TS, 8000, 1)
+    assert [(p.kind, p.symbol) for p in made] == [("binding", "brace"), ("export", "half"), ("function", "strip"), ("binding", "arrow"), ("export", "Last")]
+    assert made[2].text.endswith("}") and made[4].text.startswith("export class Last")
+
+
+def test_unclosed_template_ends_with_the_text():
+    assert [p.text for p in pieces_of("o.ts", "typescript", "const a = `x ${ {\nfunction b() {}\n", 8000, 1)] == ["const a = `x ${ {\nfunction b() {}"]
+
+
+def test_long_files_in_linear_time():
+    begun = time.perf_counter()
+    text = "".join(f"// é {i}\nfunction f{i}() {{ return `${{{i}}}`; }}\n" for i in range(20_000))
+    made = pieces_of("l.ts", "typescript", text, 400, 1)
+    assert len(made) == 20_000 and made[-1].end_byte == len(text.encode()) - 1 and made[-1].start_line == 39_999
+    assert len(chunk_lines(text * 10, 400)) > 10_000 and time.perf_counter() - begun < 30
+
+
+def test_openapi_examples():
+    body = {"schema": {"properties": {"n": {"type": "integer"}}}, "examples": {"one": {"description": "The first", "value": {"n": 1}}}}
+    text = openapi.render(json.dumps({"paths": {"/a": {"post": {"requestBody": {"content": {"application/json": body}}}}}}))
+    assert "### Request Body\n\n| Field" in text and "Examples\n\nThe first\n\n```json\n{\n  \"n\": 1\n}\n```" in text
+
+
 def test_long_class_is_cut_by_members():
     body = "\n".join(f"  method{i}() {{ return {i}; }}" for i in range(60))
     made = pieces_of("b.ts", "typescript", f"class Big {{\n{body}\n}}\n", 400, 1)
