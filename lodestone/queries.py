@@ -15,7 +15,8 @@ from lodestone.functions import facets as fc
 from lodestone.functions import text as tx
 from lodestone.functions import vectors as vc
 from lodestone.operators import batches, corpus, events, facet_counts, files, search
-from lodestone.operators.chunk import chunk_files, min_chars_filter
+from lodestone.operators.chunk import MAX_CHARS, MIN_CHARS, chunk_files, min_chars_filter
+from lodestone.operators.chunk_text import OVERLAP
 from lodestone.sources.globs import to_regex
 from lodestone.sources.tables import Table, shared_folder
 from lodestone.streaming.watch import upsert_batches
@@ -563,9 +564,32 @@ def rerank_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Chunks.
 
 
-@query()
+#: Line ends and white space as Python's str has them.
+_ENDS, _BLANK = "\\n\\v\\f\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}", "\\t-\\r\\x1c-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+
+
+@query(rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+u AS (SELECT doc_id, unnest(l) AS l, unnest(range(1, len(l) + 1)) AS k, len(l) AS last
+  FROM (SELECT doc_id, CASE WHEN length(t) <= {MAX_CHARS} THEN [t] ELSE regexp_extract_all(t, '[^\r{_ENDS}]*(?:\r\n|[\r{_ENDS}])|[^\r{_ENDS}]+') END AS l FROM d)),
+x AS (SELECT *, length(l) AS n, strlen(l) AS b, length(l) - length(replace(l, chr(10), '')) AS nl FROM u),
+c AS MATERIALIZED (SELECT *, coalesce(sum(n) OVER w, 0) AS n0, coalesce(sum(b) OVER w, 0) AS b0, coalesce(sum(nl) OVER w, 0) AS nl0 FROM x
+  WINDOW w AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s AS MATERIALIZED (SELECT *, min(k) OVER v AS back, min(n0) OVER v AS back0 FROM c WINDOW v AS (PARTITION BY doc_id ORDER BY n0 RANGE BETWEEN {OVERLAP} PRECEDING AND CURRENT ROW)),
+r AS (
+  SELECT doc_id, k, last, 1::BIGINT AS begun, NULL::BIGINT AS a, NULL::BIGINT AS z, n0 AS from0 FROM s WHERE k = 1
+  UNION ALL
+  SELECT doc_id, k, last, CASE WHEN filled THEN greatest(begun, back) ELSE begun END, CASE WHEN filled THEN begun END, CASE WHEN filled THEN k - 1 END, CASE WHEN filled THEN greatest(from0, back0) ELSE from0 END
+  FROM (SELECT s.*, begun, from0, s.n0 + s.n - from0 > {MAX_CHARS} AS filled FROM r JOIN s ON s.doc_id = r.doc_id AND s.k = r.k + 1)),
+w AS (SELECT doc_id, a, z FROM r WHERE a IS NOT NULL UNION ALL SELECT doc_id, begun, last FROM r WHERE k = last),
+p AS (SELECT doc_id, a, z, string_agg(l, '' ORDER BY k) AS text, min(b0) AS b0, sum(b) AS b, min(nl0) AS nl0, sum(nl) AS nl FROM w JOIN s USING (doc_id) WHERE k BETWEEN a AND z GROUP BY ALL),
+q AS (SELECT *, max(length(text)) OVER (PARTITION BY doc_id) >= {MIN_CHARS} AS any_long FROM p WHERE regexp_matches(text, '[^{_BLANK}]'))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY z) - 1)::INT AS ordinal, 'file' AS kind, (1 + nl0)::INT AS start_line, (1 + nl0 + nl)::INT AS end_line,
+  b0::BIGINT AS start_byte, (b0 + b)::BIGINT AS end_byte, sha256(text) AS text_sha256
+FROM q WHERE length(text) >= {MIN_CHARS} OR NOT any_long
+""")
 def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by lines; rows are checked against brute force in the tests."""
+    """Documents by lines."""
     made = chunk_files(doc_files(spark, sf_dir).select("doc_id", "path", F.lit(None).cast("string").alias("language"), "text"))
     return made.select("doc_id", "ordinal", "kind", "start_line", "end_line", "start_byte", "end_byte", F.sha2("text", 256).alias("text_sha256"))
 
