@@ -594,7 +594,16 @@ def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "ordinal", "kind", "start_line", "end_line", "start_byte", "end_byte", F.sha2("text", 256).alias("text_sha256"))
 
 
-@query()
+@query(r"""
+WITH t AS (SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'agent' ELSE 'user' END AS role, '2024-01-01T00:' || lpad(turn::VARCHAR, 2, '0') || ':00Z' AS ts,
+  substr(regexp_replace(text, '[\s<>]+', ' ', 'g'), 1, 60) AS preview, text FROM conversations),
+b AS (SELECT *, '<details><summary>' || ts || ' - ' || role || ': ' || preview || '</summary>' || chr(10) || chr(10) || text || chr(10) || '</details>' || chr(10) AS b FROM t),
+l AS (SELECT *, length(b) - length(replace(b, chr(10), '')) AS n, row_number() OVER w - 1 AS k, last_value(CASE WHEN role = 'user' THEN b END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS asked FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+m AS (SELECT *, 4 + 2 * k + coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line, trim(preview) AS said FROM l)
+SELECT conv_id, k::INT AS ordinal, 'turn' AS kind, said AS symbol, 'Chat > ' || ts || ' - ' || role || ': ' || said AS heading_path, line::INT AS start_line, (line + n)::INT AS end_line,
+  'at=' || ts || ', day=2024-01-01, role=' || role AS facets, sha256(CASE WHEN role = 'agent' AND asked IS NOT NULL THEN rtrim(asked, chr(10)) || chr(10) || chr(10) || b ELSE b END) AS text_sha256
+FROM m
+""")
 def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as transcripts of one Markdown file each."""
     turns = table(spark, sf_dir, "conversations")
@@ -608,7 +617,19 @@ def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("conv_id", "ordinal", "kind", "symbol", "heading_path", "start_line", "end_line", fc.facets_line(F.col("chunk_facets")).alias("facets"), F.sha2("text", 256).alias("text_sha256"))
 
 
-@query()
+@query(r"""
+WITH p AS (SELECT p_partkey::VARCHAR AS k, p_partkey % 2 = 1 AS odd, regexp_replace(p_name, '\W+', '_', 'g') AS name, p_retailprice::VARCHAR AS price, p_size::VARCHAR AS size FROM part),
+t AS (SELECT *, 'import { base } from "./base";' AS t0, concat_ws(chr(10), '/** Price of ' || name || '. */', 'export class P' || k || ' {', '  price = ' || price || ';', '  size() { return ' || size || '; }', '}') AS t1,
+  concat_ws(chr(10), 'export function make' || k || '() {', '  return new P' || k || '();', '}') AS t2,
+  concat_ws(chr(10), '# Price of ' || name, 'def price_' || k || '():', '    return ' || price) AS y0, concat_ws(chr(10), 'class P' || k || ':', '    size = ' || size) AS y1 FROM p),
+u AS (
+  SELECT 'lib/' || k || '.ts' AS path, 0 AS ordinal, 'block' AS kind, NULL AS symbol, 1 AS start_line, 0 AS start_byte, t0 AS text FROM t WHERE odd
+  UNION ALL SELECT 'lib/' || k || '.ts', 1, 'export', 'P' || k, 3, strlen(t0) + 2, t1 FROM t WHERE odd
+  UNION ALL SELECT 'lib/' || k || '.ts', 2, 'export', 'make' || k, 9, strlen(t0) + strlen(t1) + 4, t2 FROM t WHERE odd
+  UNION ALL SELECT 'lib/' || k || '.py', 0, 'function', 'price_' || k, 4, 14, y0 FROM t WHERE NOT odd
+  UNION ALL SELECT 'lib/' || k || '.py', 1, 'class', 'P' || k, 9, strlen(y0) + 17, y1 FROM t WHERE NOT odd)
+SELECT path, ordinal, kind, symbol, start_line, (start_line + len(string_split(text, chr(10))) - 1)::INT AS end_line, start_byte::BIGINT AS start_byte, (start_byte + strlen(text))::BIGINT AS end_byte, text FROM u
+""")
 def chunk_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as generated TypeScript and Python modules."""
     part = table(spark, sf_dir, "part")
@@ -621,7 +642,14 @@ def chunk_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_files(rows, 800, 20).select("path", "ordinal", "kind", "symbol", "start_line", "end_line", "start_byte", "end_byte", "text")
 
 
-@query()
+@query(r"""
+WITH s AS (SELECT s_suppkey::VARCHAR AS k, s_suppkey % 2 = 0 AS even, s_name AS name, s_acctbal::VARCHAR AS v FROM supplier),
+t AS (SELECT *, k || CASE WHEN even THEN '/package.json' ELSE '/data.json' END AS path FROM s)
+SELECT path, 0 AS ordinal, CASE WHEN even THEN 'package-json' ELSE 'json' END AS kind, CASE WHEN even THEN name ELSE 'data.json' END AS symbol, 1 AS start_line, CASE WHEN even THEN 9 ELSE 12 END AS end_line,
+  CASE WHEN even THEN concat_ws(chr(10), '# package.json `' || name || '`', '', '- File: `' || path || '`', '- Version: 1.0.0', '', '## Dependencies', '', '- `' || name || '`: ' || v, '')
+  ELSE concat_ws(chr(10), '# `' || path || '`', '', '```json', '{', '  "name": "' || name || '",', '  "version": "1.0.0",', '  "dependencies": {', '    "' || name || '": "' || v || '"', '  }', '}', '```', '') END AS text
+FROM t
+""")
 def chunk_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as package.json files, others as plain JSON."""
     rows = table(spark, sf_dir, "supplier")
@@ -631,7 +659,21 @@ def chunk_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("path", "ordinal", "kind", "symbol", "start_line", "end_line", "text")
 
 
-@query()
+@query(r"""
+WITH n AS (SELECT n_name AS n, 'specSlug=' || n_name AS spec FROM nation),
+t AS (SELECT *, spec || ', method=GET, apiPath=/' || n || ', operationId=get' || n || ', apiTag=Read|All' AS g, spec || ', method=POST, apiPath=/' || n || ', operationId=add' || n AS p FROM n),
+u AS (SELECT n, unnest([
+  {'o': 0, 'h': n || ' API', 'f': spec, 'x': ['# ' || n || ' API', '', '', '', '']},
+  {'o': 1, 'h': 'Base URL', 'f': spec, 'x': ['# Base URL', '', '| URL | Description |', '|---|---|', '| https://example.com |  |', '', '']},
+  {'o': 2, 'h': 'APIs > GET /' || n, 'f': g, 'x': ['## GET /' || n, '', '**Operation ID**: `get' || n || '`', '', '**Tags**: Read, All', '', 'Reads.', '', '']},
+  {'o': 3, 'h': 'APIs > GET /' || n || ' > Parameters', 'f': g, 'x': ['### Parameters', '', '| Name | Type | Required | Description |', '|---|---|---|---|', '| id | string | True |  |', '', '']},
+  {'o': 4, 'h': 'APIs > GET /' || n || ' > Responses', 'f': g, 'x': ['### Responses', '', '']},
+  {'o': 5, 'h': 'APIs > GET /' || n || ' > Responses > 200', 'f': g, 'x': ['#### 200', '', 'Fine', '', '']},
+  {'o': 6, 'h': 'APIs > POST /' || n, 'f': p, 'x': ['## POST /' || n, '', '**Operation ID**: `add' || n || '`', '', '']},
+  {'o': 7, 'h': 'APIs > POST /' || n || ' > Responses', 'f': p, 'x': ['### Responses', '', '']},
+  {'o': 8, 'h': 'APIs > POST /' || n || ' > Responses > 201', 'f': p, 'x': ['#### 201', '', 'Made', '']}]) AS c FROM t)
+SELECT 'apis/world--' || n || '.openapi.json' AS path, c.o::INT AS ordinal, c.h AS heading_path, c.f AS facets, array_to_string(c.x, chr(10)) AS text FROM u
+""")
 def chunk_openapi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as OpenAPI specs of two operations each, rendered, chunked and labelled."""
     rows = table(spark, sf_dir, "nation")
