@@ -168,3 +168,40 @@ def masked(value: Column) -> Column:
 def event_level(event: Column) -> Column:
     """Severity by the event's name."""
     return F.when(event.rlike("error|failed"), "error").when(event.rlike("skip|retry|busy|stopped"), "warn").otherwise("info")
+
+
+def tokens_text(n: Column) -> Column:
+    """A count of tokens, from a thousand on in k, from a million on in M."""
+    return (
+        F.when(n.isNull(), F.lit("-"))
+        .when(n < 1000, n.cast("long").cast("string"))
+        .when(n < 1_000_000, F.format_string("%.1fk", n / 1000))
+        .otherwise(F.format_string("%.2fM", n / 1_000_000))
+    )
+
+
+_TOTALS = "scanned {scanned}, indexed {indexed}, unchanged {unchanged}, deleted {deleted}, chunks {chunks}, errors {errors}"
+#: Events as readable lines; names in braces are fields, {where} is the space and path.
+EVENT_LINES = {
+    "file_complete": "indexed {where}: {chunks} chunks",
+    "skip_large": "skipped {where}: {bytes} bytes are too many",
+    "empty": "empty {where}: no chunks",
+    "error": "error {where}: {stage} {message}",
+    "deleted": "deleted {where}",
+    "space": "space {space}: {files} files",
+    "done": f"done: {_TOTALS}",
+    "stopped": f"stopped: {_TOTALS}; the next run goes on",
+}
+
+
+def event_line(event: Column, fields: Column) -> Column:
+    """An event and its fields (a map of strings) as a readable line; events without a line of their own as key=value."""
+    field = lambda k: F.coalesce(F.element_at(fields, F.lit(k)), F.lit(""))
+    where = F.trim(F.concat(field("space"), F.lit(" "), field("path")))
+    pairs = F.array_join(F.array_sort(F.transform(F.map_entries(fields), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))), " ")
+    line = None
+    for name, form in EVENT_LINES.items():
+        parts = [F.lit(x) if i % 2 == 0 else where if x == "where" else field(x) for i, x in enumerate(re.split(r"\{(\w+)\}", form))]
+        text = F.regexp_replace(F.trim(F.concat(*parts)), " {2,}", " ")
+        line = F.when(event == name, text) if line is None else line.when(event == name, text)
+    return line.otherwise(F.trim(F.concat(event, F.lit(" "), F.coalesce(pairs, F.lit("")))))

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.functions.facets import with_facet
+from lodestone.sources.files import FileTree
+
+#: Fixed ending of a document's sidecar.
+SIDECAR = ".metadata.json"
 
 
 def sidecar_json(facets: Column, group: Column) -> Column:
@@ -52,3 +61,65 @@ def merged(stored: DataFrame, made: DataFrame, keep: DataFrame) -> DataFrame:
 def stale_specs(specs: DataFrame, cache: DataFrame) -> DataFrame:
     """Specs(path, sha256) whose rendering in cache(path, sha256) is missing or of another version."""
     return specs.join(cache.select("path", "sha256"), ["path", "sha256"], "left_anti")
+
+
+def _put(path: str, text: str) -> bool:
+    """Whether the file had to be written: it is left alone if it has the text. Readers see the old or the new one, whole."""
+    body = text.encode("utf-8", "surrogatepass")
+    try:
+        with open(path, "rb") as f:
+            if f.read() == body:
+                return False
+    except FileNotFoundError:
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+    beside = f"{path}.{uuid.uuid4().hex}.part"
+    with open(beside, "wb") as f:
+        f.write(body)
+    os.replace(beside, path)
+    return True
+
+
+def export(made: DataFrame, root: str) -> DataFrame:
+    """(corpus_key, wrote_document, wrote_sidecar): documents(corpus_key, body, sidecar) as files under root, a folder that all executors mount.
+
+    Files are written by the tasks, each as a whole and only where they differ, so a task that runs again changes nothing.
+    """
+
+    def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            keys, bodies, sidecars = (part.column(i) for i in range(3))
+            wrote = [[], []]
+            for key, body, sidecar in zip(keys, bodies, sidecars, strict=True):
+                path = os.path.join(root, key.as_py())
+                wrote[0].append(_put(path, body.as_py()))
+                wrote[1].append(_put(path + SIDECAR, sidecar.as_py()))
+            yield pa.RecordBatch.from_arrays([keys, *(pa.array(w, pa.bool_()) for w in wrote)], ["corpus_key", "wrote_document", "wrote_sidecar"])
+
+    return made.select("corpus_key", "body", "sidecar").mapInArrow(write, "corpus_key string, wrote_document boolean, wrote_sidecar boolean")
+
+
+def prune_files(keep: DataFrame, root: str) -> DataFrame:
+    """(path) of the files under root that belong to no key of keep(corpus_key); the tasks delete them, and folders left empty."""
+    spark = keep.sparkSession
+    spark.dataSource.register(FileTree)
+    files = spark.read.format("file_tree").option("path", root).option("texts", "false").load().select("path")
+    key = F.when(F.col("path").endswith(SIDECAR), F.expr(f"left(path, length(path) - {len(SIDECAR)})")).otherwise(F.col("path"))
+    gone = files.withColumn("corpus_key", key).join(keep.select("corpus_key").distinct(), "corpus_key", "left_anti").select("path")
+
+    def remove(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for rel in part.column(0).to_pylist():
+                try:
+                    os.unlink(os.path.join(root, rel))
+                except FileNotFoundError:
+                    pass
+                folder = os.path.dirname(rel)
+                while folder:
+                    try:
+                        os.rmdir(os.path.join(root, folder))
+                    except OSError:
+                        break
+                    folder = os.path.dirname(folder)
+            yield part
+
+    return gone.mapInArrow(remove, "path string")

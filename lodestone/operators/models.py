@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 ATTEMPTS, LONGEST_WAIT = 12, 30.0
 BATCH_CHARS, BATCH_TEXTS = 40_000, 64
+#: Limits of a batch for models of code behind an API.
+CODE_BATCH_CHARS, CODE_BATCH_TEXTS = 480_000, 256
 
 
 class Provider(Protocol):
@@ -23,26 +25,78 @@ class Provider(Protocol):
 
 
 class Busy(Exception):
-    """A call to be tried again, after seconds if given."""
+    """A call to be tried again, after seconds if given. If limited, the provider has had too many calls, and others must wait as well."""
 
-    def __init__(self, message: str = "busy", seconds: float | None = None):
+    def __init__(self, message: str = "busy", seconds: float | None = None, limited: bool = False):
         super().__init__(message)
-        self.seconds = seconds
+        self.seconds, self.limited = seconds, limited
 
 
 class TooLong(Exception):
     """A batch over the model's limit; it is halved."""
 
 
-def patient(call: Callable, *args, attempts: int = ATTEMPTS, sleep: Callable[[float], None] = time.sleep):
-    """call until it isn't Busy; waits double up to LONGEST_WAIT, or follow what the answer asks for."""
+class Refused(Exception):
+    """A call that won't do better if tried again."""
+
+
+#: Fixed HTTP statuses: those of passing faults, and that of too many calls.
+PASSING, LIMITED = (408, 429, 500, 502, 503, 504), 429
+
+
+def failure(status: int, message: str = "", retry_after: str | None = None) -> Exception:
+    """What a provider raises for an HTTP answer of status; retry_after is the header as it came."""
+    if "too many tokens" in message.lower() and status not in PASSING:
+        return TooLong(message)
+    if status not in PASSING:
+        return Refused(f"{status}: {message}")
+    try:
+        seconds = max(0.0, float(retry_after)) if retry_after else None
+    except ValueError:
+        seconds = None
+    return Busy(f"{status}: {message}", seconds, status == LIMITED)
+
+
+class CoolDown:
+    """A moment before which no call of this process goes out: one limited call makes all of them wait."""
+
+    def __init__(self, clock: Callable[[], float] = time.monotonic):
+        self.clock, self.until, self.pause = clock, 0.0, 1.0
+
+    def wait(self, sleep: Callable[[float], None]) -> None:
+        if (left := self.until - self.clock()) > 0:
+            sleep(left)
+
+    def begin(self, seconds: float | None) -> None:
+        """Wait for seconds if given, between 1 and 60; otherwise for twice the pause before."""
+        pause = self.pause if seconds is None else seconds
+        self.until = max(self.until, self.clock() + min(max(pause, 1.0), 60.0))
+        self.pause = min(2 * self.pause, 60.0)
+
+    def over(self) -> None:
+        self.pause = 1.0
+
+
+#: Shared by the calls of one Python worker.
+COOL_DOWN = CoolDown()
+
+
+def patient(call: Callable, *args, attempts: int = ATTEMPTS, sleep: Callable[[float], None] = time.sleep, cool: CoolDown = COOL_DOWN):
+    """call until it isn't Busy; waits double up to LONGEST_WAIT, or follow what the answer asks for. Limited calls start the shared cool-down."""
     for n in range(attempts):
+        cool.wait(sleep)
         try:
-            return call(*args)
+            answer = call(*args)
         except Busy as e:
             if n == attempts - 1:
                 raise
-            sleep(e.seconds if e.seconds is not None else min(LONGEST_WAIT, 0.5 * 2**n) * random.uniform(0.8, 1.0))
+            if e.limited:
+                cool.begin(e.seconds)
+            else:
+                sleep(e.seconds if e.seconds is not None else min(LONGEST_WAIT, 0.5 * 2**n) * random.uniform(0.8, 1.0))
+        else:
+            cool.over()
+            return answer
 
 
 def split_calls(call: Callable[[Sequence[str]], list], texts: Sequence[str], **options) -> list:

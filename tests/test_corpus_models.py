@@ -8,6 +8,7 @@ import stat
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.functions.facets import facet_map
 from lodestone.operators import corpus, models, search
@@ -170,3 +171,48 @@ def test_clip_scale(spark):
     got = clip_scale(spark.createDataFrame([(x.tolist(),) for x in xs], "v array<double>"), "v")
     exact = np.quantile(np.abs(xs), 0.99, method="inverted_cdf")
     assert exact <= got <= exact + 1e-4
+
+
+def test_cool_down_is_shared():
+    now, waits = [100.0], []
+
+    def sleep(seconds):
+        waits.append(seconds)
+        now[0] += seconds
+
+    cool = models.CoolDown(lambda: now[0])
+    answers = [models.failure(429, "slow down", "7"), models.failure(503), "fine"]
+
+    def call():
+        a = answers.pop(0)
+        if isinstance(a, Exception):
+            raise a
+        return a
+
+    assert models.patient(call, sleep=sleep, cool=cool) == "fine"
+    assert waits[0] == 7 and 0 < waits[1] <= 1
+    cool.begin(None)
+    cool.begin(None)
+    answers.append("again")
+    assert models.patient(call, sleep=sleep, cool=cool) == "again" and waits[2] == 2 and cool.pause == 1
+
+
+def test_failures_by_status():
+    assert isinstance(models.failure(400, "Too many tokens in batch"), models.TooLong)
+    assert isinstance(models.failure(401, "no key"), models.Refused)
+    busy = models.failure(502, "", "soon")
+    assert isinstance(busy, models.Busy) and busy.seconds is None and not busy.limited
+
+
+def test_corpus_files(spark, tmp_path):
+    rows = [("internal/a/x.md", "one é", "{}\n"), ("internal/b/y.md", "two", "{}\n"), ("internal/b/z.md", "", "{}\n")]
+    made = spark.createDataFrame(rows, "corpus_key string, body string, sidecar string")
+    wrote = lambda df: sorted(tuple(r) for r in corpus.export(df, str(tmp_path)).collect())
+    assert wrote(made) == [(k, True, True) for k, *_ in rows]
+    assert (tmp_path / "internal/a/x.md").read_text() == "one é" and (tmp_path / f"internal/b/z.md{corpus.SIDECAR}").read_text() == "{}\n"
+    changed = made.withColumn("body", F.when(F.col("body") == "two", "2").otherwise(F.col("body")))
+    assert wrote(changed) == [("internal/a/x.md", False, False), ("internal/b/y.md", True, False), ("internal/b/z.md", False, False)]
+    gone = corpus.prune_files(made.where("body = 'one é'"), str(tmp_path)).collect()
+    assert sorted(r.path for r in gone) == sorted(f"internal/b/{n}.md{e}" for n in "yz" for e in ("", corpus.SIDECAR))
+    assert not (tmp_path / "internal/b").exists() and (tmp_path / "internal/a/x.md").exists()
+    assert corpus.prune_files(made, str(tmp_path)).count() == 0

@@ -201,3 +201,22 @@ def test_topk_plan_has_no_wide_shuffle(spark):
     points = spark.createDataFrame([("a", [1.0])], "point_id string, dense array<float>")
     plan = search.dense_topk(points, [1.0])._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan
+
+
+def test_event_lines_and_tokens(spark):
+    rows = [
+        ("file_complete", {"space": "code", "path": "a.ts", "chunks": "3"}, 999),
+        ("error", {"path": "b.md", "message": "not utf-8"}, 1500),
+        ("done", dict.fromkeys(("scanned", "indexed", "unchanged", "deleted", "chunks", "errors"), "1"), 2_500_000),
+        ("retry", {"n": "2", "after": "5"}, None),
+        ("odd", None, 0),
+    ]
+    df = spark.createDataFrame(rows, "event string, fields map<string,string>, n long")
+    got = df.select(tx.event_line(F.col("event"), F.col("fields")), tx.tokens_text(F.col("n"))).collect()
+    assert [tuple(r) for r in got] == [
+        ("indexed code a.ts: 3 chunks", "999"),
+        ("error b.md: not utf-8", "1.5k"),
+        ("done: scanned 1, indexed 1, unchanged 1, deleted 1, chunks 1, errors 1", "2.50M"),
+        ("retry after=5 n=2", "-"),
+        ("odd", "0"),
+    ]
