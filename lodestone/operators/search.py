@@ -91,18 +91,23 @@ def dense_topk_batch(points: DataFrame, queries: DataFrame, limit: int = LIMIT,
 
 
 def postings(docs: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:
-    """(key, term, tf, doc_len); a document without terms has no row. One shuffle by document and term."""
-    words = docs.select(*key, tokens(F.col(text)).alias("w"))
-    long = words.select(*key, F.size("w").alias("doc_len"), F.explode("w").alias("term"))
-    return long.groupBy(*key, "doc_len", "term").agg(F.count("*").alias("tf"))
+    """(key, term, tf, doc_len) of each row of docs; one without terms gives none. Nothing is shuffled: a row's words are sorted and their runs counted where it is."""
+    words = docs.select(*key, F.sort_array(tokens(F.col(text))).alias("w")).where(F.size("w") > 0)
+    first = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: ~F.get("w", i).eqNullSafe(F.get("w", i - 1)))
+    runs = words.select(*key, "w", first.alias("a"))
+    after = F.concat(F.slice("a", F.lit(2), F.size("a")), F.array(F.size("w")))
+    found = F.zip_with("a", after, lambda a, b: F.struct(F.get("w", a).alias("term"), (b - a).cast("long").alias("tf")))
+    return runs.select(*key, F.size("w").alias("doc_len"), F.explode(found).alias("p")).select(*key, "doc_len", "p.term", "p.tf")
 
 
-def idf(df: Column, n: Column) -> Column:
-    return F.log((n - df + 0.5) / (df + 0.5) + 1)
+def document_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(term, df) over docs. Counts are combined by task: what is shuffled is one row per task and term."""
+    terms = docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def document_frequency(post: DataFrame) -> DataFrame:
-    return post.groupBy("term").agg(F.count("*").alias("df"))
+def idf(df: Column, n: Column) -> Column:
+    return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
 def term_weight() -> Column:

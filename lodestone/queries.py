@@ -131,7 +131,7 @@ def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     total = docs.agg(F.count("*").cast("double").alias("n"))
-    freq = search.document_frequency(search.postings(docs, ["doc_id"])).crossJoin(F.broadcast(total))
+    freq = search.document_frequency(docs).crossJoin(F.broadcast(total))
     return freq.select("term", "df", F.round(search.idf(F.col("df"), F.col("n")), 6).alias("idf"))
 
 

@@ -220,3 +220,11 @@ def test_event_lines_and_tokens(spark):
         ("retry after=5 n=2", "-"),
         ("odd", "0"),
     ]
+
+
+def test_postings_shuffle_nothing(spark):
+    rows = [(1, "b a b_1, A"), (2, ""), (3, None), (4, "é"), (1, "b")]
+    made = search.postings(spark.createDataFrame(rows, "id int, text string"), ["id"])
+    assert sorted(tuple(r) for r in made.collect()) == [(1, 1, "b", 1), (1, 4, "a", 2), (1, 4, "b", 1), (1, 4, "b_1", 1)]
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {(r.term, r.df) for r in search.document_frequency(spark.createDataFrame(rows, "id int, text string")).collect()} == {("a", 1), ("b", 2), ("b_1", 1)}
