@@ -309,7 +309,7 @@ def changed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a watcher hands on: files that differ from the ledger in any space."""
     now, seen = ledger(spark, sf_dir)
     both = lambda df: df.withColumn("space", F.explode(F.array(F.lit("docs"), F.lit("other"))))
-    return files.changed_paths(both(now), both(seen))
+    return files.changed_paths(both(now), both(seen), max_bytes=20_000)
 
 
 @query(f"{PLAN} SELECT path FROM plan WHERE outcome = 'deleted'")

@@ -151,6 +151,19 @@ def test_lookups(spark, root, tmp_path):
     assert {r.path for r in changed_paths(claimed_files(spark, str(root), project), index.ledger.read()).collect()} == {"a.md", "src/y.py"}
 
 
+def test_changed_paths_of_large_files(spark):
+    """A file above the cap is handed on for another time than the ledger's only, whatever its size; OpenAPI files have no cap."""
+    from lodestone.operators.files import changed_paths
+
+    schema = "space string, path string, size long, mtime_ns long, language string"
+    now = [("new", 99, 1, "markdown"), ("touched", 99, 2, "markdown"), ("resized", 99, 1, "markdown"), ("same", 99, 1, None), ("spec", 99, 1, "openapi"), ("edge", 10, 1, "markdown"), ("unknown", None, 1, "markdown"), ("zero", 99, 0, "markdown"), ("zero_new", 99, 0, "markdown")]
+    seen = [("touched", 99, 1), ("resized", 50, 1), ("same", 99, 1), ("unknown", None, 1), ("zero", 99, 0), ("gone", 99, 1)]
+    claimed = spark.createDataFrame([(s, *r) for r in now for s in ("a", "b")], schema)
+    ledger = spark.createDataFrame([("a", *r, None) for r in seen] + [("b", *r, None) for r in seen if r[0] != "touched"], schema).drop("language")
+    assert sorted(r.path for r in changed_paths(claimed, ledger, max_bytes=10).collect()) == ["edge", "gone", "spec", "touched", "unknown", "zero"]
+    assert {r.path for r in changed_paths(claimed, ledger).collect()} == {p for p, *_ in now if p != "same"} | {"gone"}
+
+
 def test_event_log(spark, tmp_path):
     from lodestone.operators.events import append_log
 
